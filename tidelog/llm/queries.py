@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import simhash
+from tidelog.llm import planes, simhash
 from tidelog.llm.common import documents
 
 QUERIES, SQL = {}, {}
@@ -18,3 +18,8 @@ def query(f):
 @query
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.write_tokens(documents(spark, sf_dir)).digests().select("doc_id", "start", "n_tokens", "ids_crc32")
