@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import planes, simhash
+from tidelog.llm import packing, planes, simhash
 from tidelog.llm.common import documents
 
 QUERIES, SQL = {}, {}
@@ -23,3 +23,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.write_tokens(documents(spark, sf_dir)).digests().select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir)).drop("ids")
