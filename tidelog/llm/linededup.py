@@ -44,17 +44,14 @@ def _id() -> Column:
 
 
 def _keyed(docs: DataFrame, min_chars: int, text_key: Column) -> DataFrame:
-    """id, tk, line, hi, lo: the lines that count, by the halves of a 128-bit digest of their keys."""
+    """id, tk, line, hi, lo: the lines that count, by two 64-bit hashes of their keys, seeded apart."""
     lines = docs.select(_id().alias("id"), text_key.alias("tk"), F.posexplode(split_lines(F.col("text"))).alias("line", "s"))
     key = lines.select("id", "tk", "line", line_key(F.col("s")).alias("k")).filter(F.char_length("k") >= min_chars)
-    digest = key.select("id", "tk", "line", F.md5("k").alias("d"))
-    half = lambda at: F.conv(F.substring("d", at, 16), 16, -10).cast("bigint")
-    return digest.select("id", "tk", "line", half(1).alias("hi"), half(17).alias("lo"))
+    return key.select("id", "tk", "line", F.xxhash64("k").alias("hi"), F.xxhash64(F.lit(1), "k").alias("lo"))
 
 
-def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """hi, lo, refs, least, most: the exact table of docs.  refs: rows of docs with the key."""
-    lines = _keyed(docs, min_chars, F.lit(0))
+def references(lines: DataFrame) -> DataFrame:
+    """hi, lo, refs, least, most: the exact table.  refs: lines with the key."""
     return lines.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("refs"), F.min("id").alias("least"), F.max("id").alias("most"))
 
 
@@ -105,9 +102,9 @@ def may_be_shared(lines: DataFrame, filters: DataFrame, shards: int) -> DataFram
     return lines.mapInArrow(run, lines.schema)
 
 
-def drops(docs: DataFrame, table: DataFrame, filters: DataFrame, shards: int, min_chars: int = MIN_CHARS) -> DataFrame:
+def drops(lines: DataFrame, table: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
     """id, tk, lines: the numbers of the lines that each document loses."""
-    lines = may_be_shared(_keyed(docs, min_chars, _text_key()), filters, shards)
+    lines = may_be_shared(lines, filters, shards)
     shared = table.filter("least <> most").select("hi", "lo", "least")
     lost = lines.join(shared, ["hi", "lo"]).filter("id <> least")
     return lost.groupBy("id", "tk").agg(F.collect_set("line").alias("lines"))
@@ -204,7 +201,7 @@ class LineIndex:
 
     def dedup(self, docs: DataFrame) -> DataFrame:
         """docs (all of them in the index) with kept_text, n_lines, n_dropped."""
-        return apply_drops(docs, drops(docs, self.table, self.filters, self.shards, self.min_chars))
+        return apply_drops(docs, drops(_keyed(docs, self.min_chars, _text_key()), self.table, self.filters, self.shards))
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -214,10 +211,11 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     Rows that repeat a doc_id belong to one document: its lines do not make a key shared.  Docs may have any other
     columns, none named kept_text, n_lines or n_dropped; they are carried along.
     """
-    table = written(references(docs, min_chars).filter("least <> most"))
+    lines = written(_keyed(docs, min_chars, _text_key()))
+    table = written(references(lines).filter("least <> most"))
     shards = _shards(table.count())
     filters = written(build_filters(table, shards))
-    return apply_drops(docs, drops(docs, table, filters, shards, min_chars))
+    return apply_drops(docs, drops(lines, table, filters, shards))
 
 
 SQL = f"""WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS s, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),

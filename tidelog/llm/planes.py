@@ -1,7 +1,8 @@
 """Bit-plane shuffled token files.
 
-A block of up to BLOCK ids is transposed into its 32 bit planes (or 4 byte planes), and each plane that is not all
-zero is compressed with zstandard.  A block's bytes are a header (magic, kind, number of ids, a length for each
+A block of up to BLOCK ids is transposed into its 4 byte planes or 32 bit planes, and each plane that is not all
+zero is compressed with zstandard.  Byte planes are the default: on word BPE ids they took 1.34 bytes an id and bit
+planes 1.55, in a seventh of the time.  A block's bytes are a header (magic, kind, number of ids, a length for each
 plane) and the planes.  A chunk index tells each block's place in the stream of all ids.
 
 The blocks of a store lie in Parquet files, as binary rows, so that Spark's committer makes writes whole, lost
@@ -30,7 +31,7 @@ from tidelog.llm.tokenizing import encoder, vocabulary
 BLOCK, LEVEL, MAGIC = 65_536, 3, b"BPS1"
 
 
-def pack(ids: np.ndarray, kind: str = "bit", level: int = LEVEL) -> bytes:
+def pack(ids: np.ndarray, kind: str = "byte", level: int = LEVEL) -> bytes:
     """A block of ids as bytes."""
     raw = np.ascontiguousarray(ids, dtype="<u4").view(np.uint8).reshape(-1, 4)
     if kind == "bit":
@@ -97,10 +98,8 @@ class TokenStore:
         lists = pieces.groupBy("part", "chunk").agg(F.collect_list("p").alias("ps"))
         kind = self._read("rows").schema["doc_id"].dataType.simpleString()
         sums = self.blocks.join(lists, ["part", "chunk"]).select("part", "chunk", "payload", "ps").mapInArrow(_piece_sums, f"part int, row long, doc_id {kind}, start long, n_tokens long, chunk long, n long, crc long")
-        whole = sums.filter("n = n_tokens").select("doc_id", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
-        parts = sums.filter("n < n_tokens").groupBy("part", "row").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("chunk", "n", "crc"))).alias("ps"))
-        joined = parts.select("doc_id", "start", "n_tokens", "ps").mapInArrow(_join_sums, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
-        return whole.unionByName(joined)
+        whole = sums.groupBy("part", "row").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("chunk", "n", "crc"))).alias("ps"))
+        return whole.select("doc_id", "start", "n_tokens", "ps").mapInArrow(_join_sums, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def _piece_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +146,7 @@ def _join_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def write_tokens(docs: DataFrame, path: str | None = None, vocabulary_path: str | None = None, parts: int | None = None, kind: str = "bit") -> TokenStore:
+def write_tokens(docs: DataFrame, path: str | None = None, vocabulary_path: str | None = None, parts: int | None = None, kind: str = "byte") -> TokenStore:
     """Encodes the whole texts of docs (null: empty) in ascending doc_id order, nulls first, into a store.
 
     One shuffle deals the documents to ranges of doc_id (repeated ones by their text), and each range is encoded

@@ -1,10 +1,10 @@
 """Whole-text encoding with the tokenizers library, with a bounded cache of pieces.
 
-Word-level BPE encodes the pieces between its pre-tokenizer's cuts independently.  For lines of plain letters, digits
+Word-level BPE encodes the pieces between its pre-tokenizer's cuts independently.  For texts of plain letters, digits
 and punctuation, the cuts are found here, by the pattern of the vocabulary file, and the library's model is asked
-for each piece that the cache lacks.  Any other line (apostrophes, special tokens, other scripts, combining marks)
-goes through the library's whole chain.  Line ends are white space, which the vocabulary drops, so lines may
-be encoded one by one.
+for each piece that the cache lacks.  Of other texts (special tokens, other scripts, combining marks), the lines
+concerned go through the library's whole chain.  Line ends are white space, which the vocabulary drops, so lines
+may be encoded one by one.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ from tokenizers import Tokenizer
 
 VOCABULARY, END = "word_bpe_49k.json", 2
 
-#: Lines for which NFC changes nothing, lower-casing is by character and cuts need no look-ahead.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:;=>?@\[-`{}~\x20\t\r]*\Z")
-_PIECE = re.compile(r"[a-zà-öø-ÿß]+|[0-9]|[!-&(-/:;=>?@\[-`{}~]+")
+#: Text for which NFC changes nothing and lower-casing is by character; the special tokens begin with <|.
+_PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*\Z")
+_SPECIAL = "<|"
+#: The vocabulary file's pattern, as far as plain text goes.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -50,19 +52,26 @@ class _Pieces(dict):
 class Encoder:
     """encode(text): little-endian unsigned 32-bit ids, the end id last.  limit: pieces that each cache half keeps."""
 
-    def __init__(self, path: str, end: int = END, limit: int = 200_000):
+    def __init__(self, path: str, end: int = END, limit: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces, self.end = _Pieces(self.tokenizer, limit), end.to_bytes(4, "little")
 
+    def _plain(self, text: str) -> bytes | None:
+        if _SPECIAL not in text and _PLAIN.match(text):
+            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.lower())))
+        return None
+
     def _line(self, line: str) -> bytes:
-        if _PLAIN.match(line):
-            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(line.lower())))
-        return np.array(self.tokenizer.encode(line, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self._plain(line)
+        if ids is None:
+            ids = np.array(self.tokenizer.encode(line, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return ids
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return self.end
-        return b"".join(map(self._line, text.split("\n"))) + self.end
+        ids = self._plain(text)
+        return (b"".join(map(self._line, text.split("\n"))) if ids is None else ids) + self.end
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
