@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import shared_folder, small_rows
+from tidelog.llm.common import shared_folder, small_rows, written
 from tidelog.llm.tokenizing import encoder, vocabulary
 
 BLOCK, LEVEL, MAGIC = 65_536, 3, b"BPS1"
@@ -98,8 +98,11 @@ class TokenStore:
         lists = pieces.groupBy("part", "chunk").agg(F.collect_list("p").alias("ps"))
         kind = self._read("rows").schema["doc_id"].dataType.simpleString()
         sums = self.blocks.join(lists, ["part", "chunk"]).select("part", "chunk", "payload", "ps").mapInArrow(_piece_sums, f"part int, row long, doc_id {kind}, start long, n_tokens long, chunk long, n long, crc long")
-        whole = sums.groupBy("part", "row").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("chunk", "n", "crc"))).alias("ps"))
-        return whole.select("doc_id", "start", "n_tokens", "ps").mapInArrow(_join_sums, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+        sums = written(sums)
+        whole = sums.filter("n = n_tokens").select("doc_id", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
+        parts = sums.filter("n < n_tokens").groupBy("part", "row").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("chunk", "n", "crc"))).alias("ps"))
+        joined = parts.select("doc_id", "start", "n_tokens", "ps").mapInArrow(_join_sums, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+        return whole.unionByName(joined)
 
 
 def _piece_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +142,8 @@ def _join_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sums = []
         for ps in b.column(3).to_pylist():
-            crc = 0
-            for p in ps:
+            crc = ps[0]["crc"]
+            for p in ps[1:]:
                 crc = join_crc32(crc, p["crc"], 4 * p["n"])
             sums.append(crc)
         yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
