@@ -52,7 +52,7 @@ class _Pieces(dict):
 class Encoder:
     """encode(text): little-endian unsigned 32-bit ids, the end id last.  limit: pieces that each cache half keeps."""
 
-    def __init__(self, path: str, end: int = END, limit: int = 300_000):
+    def __init__(self, path: str, end: int = END, limit: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces, self.end = _Pieces(self.tokenizer, limit), end.to_bytes(4, "little")
 
