@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import linededup, packing, planes, simhash
+from tidelog.llm import linededup, mixing, packing, planes, simhash
 from tidelog.llm.common import documents
 
 QUERIES, SQL = {}, {}
@@ -38,3 +38,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op10_line_dedup"] = linededup.SQL
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", *mixing.RESULTS)
+
+
+SQL["op5_mixing"] = mixing.SQL
