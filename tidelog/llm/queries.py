@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import linededup, mixing, packing, planes, simhash
+from tidelog.llm import linededup, mixing, packing, planes, sharding, simhash, toxicity
 from tidelog.llm.common import documents
 
 QUERIES, SQL = {}, {}
@@ -46,3 +46,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op5_mixing"] = mixing.SQL
+
+
+@query
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
