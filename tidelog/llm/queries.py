@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import linededup, mixing, packing, planes, quality, sharding, simhash, syncmers, toxicity
+from tidelog.llm import linededup, mixing, packing, pii, planes, quality, sharding, simhash, syncmers, toxicity
 from tidelog.llm.common import documents
 
 QUERIES, SQL = {}, {}
@@ -68,3 +68,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_fingerprints(documents(spark, sf_dir))
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymized(documents(spark, sf_dir).select("doc_id", "text"))
