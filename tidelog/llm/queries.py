@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidelog.llm import linededup, mixing, packing, pii, planes, quality, sharding, simhash, syncmers, toxicity
 from tidelog.llm.common import documents
 
@@ -73,3 +74,6 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymized(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
