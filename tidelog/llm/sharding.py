@@ -2,8 +2,8 @@
 
 Records are hashed into SLOTS virtual slots, whose number never changes.  Bytes are added up for each slot, and a
 map from slot to shard is drawn up from these sums: the largest slots first, each to the shard with the fewest
-bytes.  The map is a versioned table; rebalancing edits it, moving as few slots as needed, and writes the next
-version.  A record's shard is the map's entry for its slot, so no other record is looked at.
+bytes.  The map is a versioned table; rebalancing edits it, moving little more than the bytes that
+have to move, and writes the next version.  A record's shard is the map's entry for its slot, so no other record is looked at.
 """
 
 from __future__ import annotations
@@ -47,15 +47,16 @@ class SlotMap:
         return out
 
     def rebalanced(self, sizes: dict[int, int], shards: int | None = None, tolerance: float = 0.02) -> SlotMap:
-        """The next version for new sums, or for more or fewer shards: slots of shards that go, and the smallest slots of shards
-        above the mean by more than the tolerance, move to the lightest shards; all others stay."""
+        """The next version for new sums, or for more or fewer shards: slots of shards that go, and the smallest slots of
+        shards above the mean (if the number stays, by more than the tolerance), move to the lightest shards; all
+        others stay."""
         shards = shards or self.shards
         shard_of, mean = list(self.shard_of), sum(sizes.values()) / shards
         own: list[list[int]] = [[] for _ in range(shards)]
-        moving, loads = [], [0] * shards
+        moving, loads, limit = [], [0] * shards, mean * (1 + tolerance * (shards == self.shards))
         for slot in sorted(range(len(shard_of)), key=lambda i: (-sizes.get(i, 0), i)):
             s = shard_of[slot]
-            if s < shards and loads[s] + sizes.get(slot, 0) <= mean * (1 + tolerance) or s < shards and not own[s]:
+            if s < shards and loads[s] + sizes.get(slot, 0) <= limit or s < shards and not own[s]:
                 own[s].append(slot)
                 loads[s] += sizes.get(slot, 0)
             else:
