@@ -39,6 +39,17 @@ def small_rows(batches: Iterator[pa.RecordBatch], size: int = 128) -> Iterator[p
             yield b.slice(i, size)
 
 
+def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """text and the label of at most rows documents, in the order of a hash of doc_id, in one partition.
+
+    The labels (doc_id, label; one row each) are chosen first, so that they alone are broadcast, at most rows of them,
+    and only chosen texts are moved.
+    """
+    chosen = labels.select("doc_id", label, F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(rows)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.orderBy("h", "doc_id", "text").limit(rows).select("text", label).coalesce(1)
+
+
 def raw(text: str | Column = "text") -> Column:
     """The text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WORD, small_rows
+from tidelog.llm.common import WORD, bounded_sample, small_rows
 
 SAMPLE_DOCS, SEGMENT, EPOCHS, RATE, RIDGE, MIN_SHARE = 4000, 256, 40, 0.05, 1e-4, 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -173,11 +173,10 @@ def train(documents: list[tuple[str, int]], epochs: int = EPOCHS, rate: float =
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_DOCS) -> Field:
-    """A field for docs with labels (doc_id, quality 0 or 1), from at most rows labelled documents, chosen by a hash
+    """A field for docs with labels (doc_id, quality 0 or 1), from at most rows labels, chosen by a hash
     of doc_id, in one task; the driver gets the parameters alone.  Without both labels: Field.untrained()."""
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
-    chosen = docs.select("doc_id", "text").join(known, "doc_id").filter("text IS NOT NULL").select("text", "y", F.xxhash64("doc_id").alias("h"))
-    chosen = chosen.orderBy("h", "text").limit(rows).coalesce(1)
+    chosen = bounded_sample(docs.filter("text IS NOT NULL"), known, "y", rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = [(t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import small_rows
+from tidelog.llm.common import bounded_sample, small_rows
 
 BUCKETS, SKIPS = 1 << 20, (1, 2, 3)
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 8.0, 0.0, 10
@@ -91,21 +91,21 @@ def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, alpha: float
     return Model(every, weights(every), float(-bias_z / ((beta + np.sqrt(bias_n)) / alpha)))
 
 
-def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """A model of labelled (doc_id, text, toxic).
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+    """A model of docs with labels (doc_id, toxic; one row each).
 
-    It is fitted on at most rows rows, chosen and ordered by a hash of doc_id, in one task; the driver gets only the
+    It is fitted on at most rows labels, chosen and ordered by a hash of doc_id, in one task; the driver gets only the
     weights that L1 leaves.  Rows without a label are left out; without rows, every score is 0.5.
     """
-    chosen = labelled.filter("toxic IS NOT NULL").select("text", F.col("toxic").cast("int").alias("y"), F.xxhash64("doc_id").alias("h"))
-    chosen = chosen.orderBy("h", "text").limit(rows)
+    known = labels.filter("toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("y"))
+    chosen = bounded_sample(docs, known, "y", rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = [(features(t), y) for b in small_rows(batches) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         m = train(data) if data else Model(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0)
         yield pa.RecordBatch.from_arrays([pa.array([*m.buckets.tolist(), -1], pa.int64()), pa.array([*m.weights.tolist(), m.bias], pa.float64())], names=["bucket", "weight"])
 
-    found = chosen.coalesce(1).mapInArrow(run, "bucket long, weight double").toPandas().sort_values("bucket")
+    found = chosen.mapInArrow(run, "bucket long, weight double").toPandas().sort_values("bucket")
     if not len(found):
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0)
     return Model(found.bucket.to_numpy()[1:], found.weight.to_numpy()[1:], float(found.weight.iloc[0]))
@@ -141,7 +141,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     A null doc_id is not held out and has no label.
     """
     known = labels.filter(fold() != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = docs.select("doc_id", "text").join(known, "doc_id")
-    out = score(docs, fit(labelled), threshold)
+    out = score(docs, fit(docs, known), threshold)
     return out.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
