@@ -59,7 +59,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     """
     own = [c for c in docs.columns if c not in RESULTS]
     h = _hash(seed)
-    base = docs.select(*own, F.col("source").alias("_s"), n_words().alias("_n"), h.alias("_h"), F.substring(h, 1, 4).alias("_b"))
+    base = docs.select(*own, F.col("source").alias("_s"), n_words().alias("_n"), h.alias("_h"), F.substring(h, 1, 3).alias("_b"))
     sums = written(base.groupBy("_s", "_b").agg(F.sum("_n").alias("_n")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     plan = targets(sums, weights, cap).withColumn("_w", F.least(whole, F.lit(cap)))
