@@ -50,13 +50,13 @@ def _word_hashes(text: Column) -> Column:
 
 
 def sketch(text: Column) -> Column:
-    """The SKETCH least distinct anchor hashes, as non-negative BIGINTs under 2^32."""
-    hashes = F.transform(anchor_places(_word_hashes(text)), lambda a: F.shiftrightunsigned(a["hash"], 32))
+    """The SKETCH least distinct anchor hashes, as 32-bit integers (signed, as is their order)."""
+    hashes = F.transform(anchor_places(_word_hashes(text)), lambda a: F.shiftright(a["hash"], 32).cast("int"))
     return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
 
 
 def as_text(s: Column) -> Column:
-    return F.lower(F.array_join(F.transform(s, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
+    return F.lower(F.array_join(F.transform(s, lambda x: F.substring(F.lpad(F.hex(x), 16, "0"), 9, 8)), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -107,21 +107,22 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     Texts are shuffled once by their key; of each document, its follower's first characters (no more than the edit
     takes) and sketch are sent to it.
     """
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), sketch(F.col("text")).alias("sketch"))
-    base = base.repartition("th", "id")
-    sized = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("th"), F.char_length(text).alias("n")).groupBy("id", "th").agg(F.max("n").alias("n"))
-    sized = written(sized)
-    following = successors(sized, ["id", "th"])
-    needs = following.join(sized, following["id"].eqNullSafe(sized["id"]) & (following["th"] == sized["th"])).select(
-        F.col("next.id").alias("to_id"), F.col("next.th").alias("to_th"), following["id"].alias("for_id"), following["th"].alias("for_th"), F.floor(F.col("n") / 4).cast("int").alias("take")
+    text, kind = F.coalesce("text", F.lit("")), docs.schema["doc_id"].dataType
+    # Keys without nulls, so that joins on them share one exchange.
+    key = [F.xxhash64(text).alias("th"), F.coalesce(F.col("doc_id"), F.lit(0).cast(kind)).alias("id"), F.col("doc_id").isNotNull().alias("has")]
+    base = docs.select(*key, text.alias("text"), sketch(F.col("text")).alias("sketch"))
+    sized = written(docs.select(*key, F.char_length(text).alias("n")).groupBy("th", "id", "has").agg(F.max("n").alias("n")))
+    following = successors(sized, ["has", "id", "th"])
+    needs = sized.join(following, ["th", "id", "has"]).select(
+        "next.th", "next.id", "next.has", F.struct("th", "id", "has").alias("for"), F.floor(F.col("n") / 4).cast("int").alias("take")
     )
-    donors = needs.join(base, (F.col("to_th") == F.col("th")) & F.col("to_id").eqNullSafe(F.col("id")))
-    gifts = donors.groupBy("for_id", "for_th").agg(F.first(F.struct(F.substring("text", F.lit(1), F.col("take")).alias("head"), F.col("sketch").alias("next_sketch"))).alias("gift"))
-    both = base.join(gifts, (F.col("th") == F.col("for_th")) & F.col("id").eqNullSafe(F.col("for_id")))
+    once = base.dropDuplicates(["th", "id", "has"]) if sized.agg(F.count(F.lit(1))).first()[0] < docs.count() else base
+    gift = F.struct(F.substring("text", F.lit(1), F.col("take")).alias("head"), F.col("sketch").alias("next_sketch")).alias("gift")
+    gifts = needs.join(once, ["th", "id", "has"]).select("for.*", gift)
+    both = base.join(gifts, ["th", "id", "has"])
     n = F.char_length("text")
     keep = F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int"))
-    out = both.select(F.col("id").alias("doc_id"), n.cast("bigint").alias("n_chars"), F.concat(keep, "gift.head").alias("edited"), "sketch", F.col("gift.next_sketch").alias("next_sketch"))
+    out = both.select(F.when(F.col("has"), F.col("id")).alias("doc_id"), n.cast("bigint").alias("n_chars"), F.concat(keep, "gift.head").alias("edited"), "sketch", F.col("gift.next_sketch").alias("next_sketch"))
     out = out.withColumn("edited_sketch", sketch(F.col("edited")))
     result = F.transform(F.array(F.struct("sketch", "edited_sketch", "next_sketch")), lambda s: F.struct(
         as_text(s["sketch"]).alias("fingerprint"), as_text(s["edited_sketch"]).alias("edited_fingerprint"),
