@@ -353,7 +353,8 @@ def test_rebalancing_moves_little():
     grown = m.rebalanced(sizes, 41)
     moved = [i for i in sizes if m.shard_of[i] != grown.shard_of[i]]
     loads = grown.loads(sizes)
-    assert sum(sizes[i] for i in moved) < 1.1 * sum(loads) / 41 and max(loads) < 1.05 * sum(loads) / 41 and min(loads) > 0.9 * sum(loads) / 41
+    # A 41st of the bytes, and of each old shard at most a slot more.
+    assert sum(sizes[i] for i in moved) < sum(loads) / 41 + 40 * 1000 and max(loads) < 1.05 * sum(loads) / 41 and min(loads) > 0.9 * sum(loads) / 41
     shrunk = m.rebalanced(sizes, 39)
     assert max(shrunk.shard_of) == 38 and shrunk.version == 2
     assert m.rebalanced(sizes).shard_of == m.shard_of
