@@ -1,0 +1,88 @@
+"""The pipeline against brute force, stage by stage, on odd documents."""
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import corpus_pipeline
+from conftest import SCHEMA, prose, rows
+from test_operators import WORD, reference_ids, slow_base, slow_components, slow_fingerprint, slow_lines
+from tidelog.llm import queries
+
+
+def test_registered_and_guarded(spark):
+    import __spark_entry__ as e
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "mix", "pack"]
+    assert e.queries()["pipeline"] is corpus_pipeline.run and set(queries.SQL) <= set(queries.QUERIES)
+    assert {n.split("_")[0] for n in queries.QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+
+
+def test_stages(spark, tmp_path):
+    rnd = random.Random(21)
+    data = [r for r in rows() if r[0] is not None]
+    data = list({r[0]: r for r in data}.values())
+    base = prose(rnd, 300)
+    data += [(500 + i, base.replace("bo", "Bo", i), "en", f"s{i % 3}", len(base)) for i in range(6)]
+    data += [(600 + i, " | ".join(prose(rnd, 1).strip() for _ in range(80)), "en", "s1", 1) for i in range(8)]
+    spark.createDataFrame(data, SCHEMA).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(r[0], 0 if r[0] >= 600 else 1, 0) for r in data if r[0] % 2 == 0]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/out{i}")
+        docs = spark.read.parquet(f"{tmp_path}/out{i}")
+        seen.append(docs.collect())
+        if i < 4:
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    good, lines, unique, mixed, packed = seen
+
+    passed = {r[0] for r in data if (c := slow_base(r[1] or ""))[0] >= 50 and 100 * c[4] <= 50 * c[0]}
+    assert {r.doc_id for r in good} == {d for d in passed if d < 600}
+    want = slow_lines([(r.doc_id, r.text) for r in good])
+    assert Counter((r.doc_id, r.text) for r in lines) == Counter({(k[0], k[3]): n for k, n in want.items()})
+    assert all(r.n_chars == len(r.text) for r in lines)
+
+    pairs = [(r.doc_id, slow_fingerprint(r.text)) for r in lines]
+    assert Counter(r.doc_id for r in unique) == Counter(set(slow_components(pairs).values()))
+
+    size = {r.doc_id: len(WORD.findall(r.text)) for r in unique}
+    texts = {r.doc_id: r.text for r in unique}
+    taken, sources = Counter(), defaultdict(int)
+    for r in mixed:
+        taken[r.doc_id] += len(WORD.findall(r.text))
+        assert texts[r.doc_id].startswith(r.text)
+    for r in unique:
+        assert taken[r.doc_id] <= 3 * size[r.doc_id]
+        sources[r.source] += taken[r.doc_id]
+    assert abs(sum(taken.values()) - sum(size.values())) <= len(sources)
+
+    tokens = Counter()
+    for r in mixed:
+        ids = reference_ids(r.text)
+        tokens[r.doc_id] += len(ids)
+    got, windows = Counter(), defaultdict(list)
+    for r in packed:
+        got[r.doc_id] += r.length
+        windows[r.sequence_id].append(r)
+        assert r.ids_crc32 == zlib.crc32(r.ids)
+    assert got == tokens
+    for w in windows.values():
+        at = 0
+        for r in sorted(w, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at & (at - 1) == 0 and at <= 4096
+
+    last = Counter()  # other splits may give other windows, but of the same ids
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        last[r.doc_id] += r.length
+    assert last == tokens
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], SCHEMA)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0
