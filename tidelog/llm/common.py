@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,5 +58,27 @@ def raw(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once an application, for clusters where it is not installed."""
+    sc, root, packed = spark.sparkContext, Path(__file__).parents[2], io.BytesIO()
+    files = sorted((root / "tidelog").rglob("*.py"))
+    if sc.applicationId in _SHIPPED or not files:
+        return
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in files:
+            z.write(f, f.relative_to(root))
+    path = f"{shared_folder(spark)}/tidelog.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
