@@ -25,6 +25,8 @@ from tidelog.llm.common import small_rows
 #: For tests and examples; real keys are passed in.
 KEY, ROUNDS = b"not a secret", 10
 _DAYS = (datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal())
+#: Where year, month and day stand.
+_DAY_FIRST, _MONTH_FIRST = (2, 1, 0), (2, 0, 1)
 
 
 class Feistel:
@@ -103,7 +105,7 @@ class Pseudonyms:
 
     def iban(self, s: str) -> str | None:
         bare = s.replace(" ", "")
-        if not 15 <= len(bare) <= 34 or iban_rest(bare) != 1:
+        if not 15 <= len(bare) <= 34 or iban_rest(bare) != 1 or not 2 <= int(bare[2:4]) <= 98:
             return None
         bban = self.characters(f"iban{bare[:2]}", bare[4:])
         new = f"{bare[:2]}{98 - iban_rest(bare[:2] + '00' + bban):02d}{bban}"
@@ -138,20 +140,27 @@ class Pseudonyms:
         return f"{area:03d}-{group + 1:02d}-{serial + 1:04d}"
 
     def date(self, s: str) -> str | None:
-        """Years 1900 to 2099, year first or last (then the day before the month, if both are possible)."""
+        """Years 1900 to 2099, year first or last (then the day before the month, if both are possible).
+
+        A month before the day can only be told if the day is above 12, so such dates walk on to another such date:
+        the pseudonym is read in the same order, and no date of the other order has it.
+        """
         cut = re.search("[^0-9]", s)[0]
         parts = s.split(cut)
         if len(parts[0]) == 4:
             orders = ((0, 1, 2),)
         else:
-            orders = ((2, 1, 0), (2, 0, 1))
+            orders = (_DAY_FIRST, _MONTH_FIRST)
         for order in orders:
             try:
                 day = datetime.date(*(int(parts[i]) for i in order)).toordinal()
             except ValueError:
                 continue
             if _DAYS[0] <= day <= _DAYS[1]:
-                new = datetime.date.fromordinal(_DAYS[0] + self.permuted("date", day - _DAYS[0], _DAYS[1] - _DAYS[0] + 1))
+                new = None
+                while new is None or order == _MONTH_FIRST and new.day <= 12:
+                    day = _DAYS[0] + self.permuted("date", day - _DAYS[0], _DAYS[1] - _DAYS[0] + 1)
+                    new = datetime.date.fromordinal(day)
                 out = [""] * 3
                 for i, v in zip(order, (f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}")):
                     out[i] = v
@@ -179,23 +188,62 @@ KINDS = {
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
+#: Lengths of IBANs by country (fixed values).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22,
+    "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "KW": 30, "KZ": 20,
+    "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30,
+    "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19,
+    "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VG": 24, "XK": 20,
+}
+#: A card in its usual groups (or none), beside groups of other sizes.
+_CARD = re.compile(r"(?<![0-9])(?<![0-9]{4}[ -])[0-9]{4}([ -]?)(?:[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{6}\1[0-9]{5})(?![0-9])(?![ -][0-9]{4}(?![0-9]))")
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
 _HINT = re.compile(r"[0-9@]")
 
 
+def _parts(kind: str, s: str) -> Iterator[tuple[int, int]]:
+    """Which parts of a found run of groups may be the value, the likeliest first; (0, len(s)) is all of it."""
+    if kind == "card":
+        yield from (m.span() for m in _CARD.finditer(s))
+    elif kind == "iban":
+        ends = [i + 1 for i, c in enumerate(s) if c != " "]
+        n = IBAN_LENGTHS.get(s[:2], 0)
+        if 0 < n < len(ends) and s[ends[n - 1]] == " ":
+            yield 0, ends[n - 1]
+    yield 0, len(s)
+
+
 def pseudonymize(text: str, names: Pseudonyms) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text with pseudonyms, and (kind, start, end) of each in it."""
+    """The text with pseudonyms, and (kind, start, end) of each in it.
+
+    Groups of an IBAN or a card may run on into a word or number that follows or goes before; then the part that is
+    valid is taken.  In a run that has none, the search goes on at the next group.
+    """
     if not _HINT.search(text):
         return text, []
-    out, spans, at, size = [], [], 0, 0
-    for m in _ANY.finditer(text):
+    out, spans, at, size, pos, tried = [], [], 0, 0, 0, 0
+    while m := _ANY.search(text, pos):
         kind = next(k for k in KINDS if m[k] is not None)
-        new = getattr(names, kind)(m[0])
-        if new is not None:
-            out += (text[at : m.start()], new)
-            size += m.start() - at
-            spans.append((kind, size, size + len(new)))
-            size, at = size + len(new), m.end()
+        for start, end in _parts(kind, m[0]):
+            # A run that failed as a whole is not tried again from each of its groups: some part would pass by chance.
+            if kind == "card" and end - start == len(m[0]) and m.start() < tried:
+                continue
+            if (new := getattr(names, kind)(m[0][start:end])) is not None:
+                break
+        else:
+            new = None
+        if new is None:
+            pos = m.end()
+            if kind in ("iban", "card"):
+                tried, pos = max(tried, pos), m.start() + len(re.match("[^ -]+", m[0])[0])
+            continue
+        start, pos = m.start() + start, m.start() + end
+        out += (text[at:start], new)
+        size += start - at
+        spans.append((kind, size, size + len(new)))
+        size, at = size + len(new), pos
     return "".join(out) + text[at:], spans
 
 
