@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import bounded_sample, small_rows
 
 BUCKETS, SKIPS = 1 << 20, (1, 2, 3)
-ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 8.0, 0.0, 10
+ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 16.0, 0.0, 10
 SAMPLE_ROWS, THRESHOLD = 16_000, 0.7
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
