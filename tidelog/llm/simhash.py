@@ -110,16 +110,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return rows.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs without the documents whose component has a smaller doc_id.
+def keep_smallest(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """docs without the documents whose component (placed: doc_id, component_id) has a smaller doc_id.
 
     Of rows that repeat the kept doc_id one stays (the one with the smallest text); rows whose component has no
     doc_id at all stay.
     """
-    found = near_duplicates(docs, shingle, radius).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("_c"), F.count(F.lit(1)).alias("_n"))
-    found = written(found.filter("_c = doc_id").select(F.col("doc_id").alias("_kept"), "_n"))
-    kept = docs.join(found.select("_kept"), docs.doc_id == F.col("_kept"), "left_semi")
-    if found.filter("_n > 1").limit(1).count():
+    found = placed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("_c"), F.count(F.lit(1)).alias("_n"))
+    found = written(found.filter("_c <> doc_id OR _n > 1"))
+    gone = found.filter("_c <> doc_id").select(F.col("doc_id").alias("_gone"))
+    kept = docs.filter("doc_id IS NOT NULL").join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    if found.filter("_c = doc_id AND _n > 1").limit(1).count():
         w = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), *(c for c in docs.columns if c not in ("doc_id", "text")))
         kept = kept.withColumn("_row", F.row_number().over(w)).filter("_row = 1").drop("_row")
     return kept.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """docs without the documents whose component has a smaller doc_id, as keep_smallest says."""
+    return keep_smallest(docs, near_duplicates(docs, shingle, radius))
