@@ -6,7 +6,8 @@ texts that share a passage share all its syncmers, wherever it stands: anchors(d
 
 A document's fingerprint is the SKETCH least distinct anchor hashes (32 bits each), in hex, ascending: a bottom-k
 sketch of its set of anchors, whose likeness to another estimates the sets' Jaccard index (and is that index while
-both sets fit).  Texts of fewer than K words have one anchor, the whole sequence; texts without words none.
+both sets fit).  Texts without a syncmer (fewer than K words, or few more) have one anchor, the whole sequence; texts
+without words none.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def anchor_places(hashes: Column) -> Column:
         whole = F.array(F.struct(F.lit(0).alias("place"), F.aggregate(h, F.lit(0).cast("bigint"), lambda a, x: F.xxhash64(a, x)).alias("hash")))
         many = F.transform(chosen, lambda i: F.struct(i.alias("place"), kmer(i).alias("hash")))
         none = F.filter(whole, lambda _: F.lit(False))
-        return F.when(F.size(h) >= K, many).when(F.size(h) > 0, whole).otherwise(none)
+        return _let(F.when(F.size(h) >= K, many).otherwise(none), lambda a: F.when((F.size(a) == 0) & (F.size(h) > 0), whole).otherwise(a))
 
     return _let(hashes, find)
 
