@@ -5,6 +5,9 @@ format: a card number becomes another with a right check digit, a date another d
 The permutation is a Feistel network over the format's values, numbered from 0 (HMAC-SHA256 rounds, cycle-walking
 to the format's size), so equal values have equal pseudonyms in all documents, different values different ones, and
 who has the key can turn them back.  What fails validation stays.
+
+Dates are found with two-digit days and months only, phones in groups of 3-3-4 digits with separators only (a country
+code may go before); other forms of either stay in clear.
 """
 
 from __future__ import annotations
