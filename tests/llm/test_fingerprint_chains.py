@@ -1,0 +1,71 @@
+"""Fingerprints and likeness against a slow version, whole chains of long texts included."""
+
+import random
+import re
+import struct
+
+import xxhash
+from conftest import prose, rows
+from tidelog.llm import syncmers
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def h(*xs):
+    """Hashes chained by seed: strings as UTF-8, (number, bytes) as little-endian integers."""
+    seed = 42
+    for x in xs:
+        seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else struct.pack({4: "<i", 8: "<q"}[x[1]], x[0]), seed)
+    return seed - 2**64 if seed >> 63 else seed
+
+
+def slow_chain(text):
+    w = [h(x) for x in WORD.findall((text or "").lower())]
+    whole = lambda i, n: h(*((x, 8) for x in w[i : i + n]))
+    anchors = []
+    for i in range(len(w) - 4):
+        inner = [whole(i + j, 2) for j in range(4)]
+        if min(inner) in (inner[0], inner[3]):
+            anchors.append((i, whole(i, 5)))
+    out = [h((a, 8), (j - i, 4), (b, 8)) for (i, a), (j, b) in zip(anchors, anchors[1:])]
+    if len(w) < 24:
+        out += [whole(i, 2) for i in range(len(w) - 1)]
+    if len(w) < 4:
+        out += w
+    return [x >> 32 for x in out]
+
+
+def slow_likeness(a, b):
+    a, b = set(a), set(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def as_text(chain):
+    return "".join(f"{x & 0xFFFFFFFF:08x}" for x in chain)
+
+
+def test_chains_and_likeness(spark):
+    rnd = random.Random(40)
+    texts = [prose(rnd, n) for n in (*range(1, 40), 5000, 20_000)] + ["", None, " \n", "same same same same same same same same same", "x " * 3000]
+    texts += [r[1] for r in rows()] + [texts[20], texts[20]]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in syncmers.edited_fingerprints(df).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[(i + 1) % len(texts)] or ""
+        m = len(t) // 4
+        own, edited, following = slow_chain(t), slow_chain(t[: len(t) - m] + after[:m]), slow_chain(after)
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (as_text(own), as_text(edited)), i
+        assert abs(r.near_edited - slow_likeness(own, edited)) < 1e-12 and abs(r.near_next - slow_likeness(own, following)) < 1e-12
+
+
+def test_links_match_a_moved_passage_and_not_single_words(spark):
+    rnd = random.Random(41)
+    passage, a, b = (" ".join(prose(rnd, n).split()) for n in (200, 90, 300))
+    one, two = f"{a} {passage}", f"{passage} {b}"
+    chains = [set(slow_chain(t)) for t in (passage, one, two)]
+    assert chains[0] <= chains[1] and chains[0] <= chains[2] and len(chains[0]) > 60
+    words = passage.split()
+    rnd.shuffle(words)
+    assert not chains[0] & set(slow_chain(" ".join(words)))
