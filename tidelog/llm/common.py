@@ -79,6 +79,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+#: Texts run to 100 kB and more, so batches are of few rows: a reader's or a Python worker's batch stays near a megabyte.
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; where the session leaves them open, the sizes of BATCHES are set."""
+    for k, v in BATCHES.items():
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

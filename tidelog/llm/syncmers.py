@@ -37,7 +37,7 @@ def anchor_places(hashes: Column) -> Column:
     """(place, hash) of each syncmer of an array of word hashes; fewer than K words have none."""
 
     def find(h: Column) -> Column:
-        inner = F.transform(F.sequence(F.lit(0), F.size(h) - S), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(S))))
+        inner = F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda a, b: F.xxhash64(a, b))  # S = 2
         kmer = lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(K)))
         edges = lambda m, i: F.least(F.get(m, i), F.get(m, i + (K - S)))
         middle = lambda m, i: F.least(*(F.get(m, i + j) for j in range(1, K - S)))
@@ -61,8 +61,8 @@ def links(text: Column) -> Column:
     none = F.array().cast("array<int>")
 
     def chain(a: Column) -> Column:
-        link = lambda i: _let(F.get(a, i), lambda x: _let(F.get(a, i + 1), lambda y: _narrow(F.xxhash64(x["hash"], y["place"] - x["place"], y["hash"]))))
-        return F.when(F.size(a) > 1, F.transform(F.sequence(F.lit(0), F.size(a) - 2), link)).otherwise(none)
+        link = lambda x, y: _narrow(F.xxhash64(x["hash"], y["place"] - x["place"], y["hash"]))
+        return F.when(F.size(a) > 1, F.zip_with(F.slice(a, 1, F.size(a) - 1), F.slice(a, 2, F.size(a) - 1), link)).otherwise(none)
 
     def short(h: Column) -> Column:
         pairs = F.when((F.size(h) > 1) & (F.size(h) < SHORT), F.transform(F.sequence(F.lit(0), F.size(h) - 2), lambda i: _narrow(F.xxhash64(F.get(h, i), F.get(h, i + 1)))))
@@ -73,7 +73,9 @@ def links(text: Column) -> Column:
 
 
 def as_text(s: Column) -> Column:
-    return F.lower(F.array_join(F.transform(s, lambda x: F.substring(F.lpad(F.hex(x), 16, "0"), 9, 8)), ""))
+    """Eight hex digits for each link: those of 2^32 and the unsigned link, without the leading 1."""
+    nine = F.lit(1 << 32).cast("bigint")
+    return F.lower(F.array_join(F.transform(s, lambda x: F.substring(F.hex(F.pmod(x.cast("bigint"), nine) + nine), 2, 8)), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
