@@ -1,10 +1,14 @@
 """Document quality by line labels: a linear-chain conditional random field marks content and boilerplate.
 
-Each line has a few features (length, case, digits, symbols, punctuation, repetition, place); Viterbi decoding finds
-the best labelling of a document's lines, and the document is kept if lines of content have at least MIN_SHARE
-of its words and it passes the base rules.  The field is trained by conditional likelihood, forward and backward, on
-the lines of labelled documents: all lines of a good document count as content, those of a bad one as
-boilerplate.
+Each line has features of its shape (length, case, digits, symbols, punctuation, repetition, place) and of its words,
+hashed into HASHED buckets.  Viterbi decoding finds the best labelling of a document's lines, and the document is
+kept if lines of content have at least MIN_SHARE of its words and it passes the base rules.
+
+Labels exist for documents only, so those of lines are latent.  They start from what is known without them: lines
+that different documents of the sample share are boilerplate wherever they stand, the other lines follow their
+document.  Then the field is trained by conditional likelihood, forward and backward, and relabels all lines by Viterbi
+decoding, ROUNDS times over; the document's label bounds the result: at least MIN_SHARE of a good document's words stay
+content, less than MIN_SHARE of a bad one's, by moving the lines that cost the least.
 """
 
 from __future__ import annotations
@@ -17,15 +21,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import WORD, bounded_sample, small_rows
 
-SAMPLE_DOCS, SEGMENT, EPOCHS, RATE, RIDGE, MIN_SHARE = 4000, 256, 40, 0.05, 1e-4, 0.5
+SAMPLE_DOCS, SEGMENT, EPOCHS, ROUNDS, RATE, RIDGE, MIN_SHARE = 4000, 256, 20, 3, 0.05, 1e-3, 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
-FEATURES = 13
+SHAPE, HASHED, SHARED_CHARS = 13, 128, 10
+FEATURES = SHAPE + HASHED
 
 _WORDS = re.compile(WORD)
 _SPACE = " \t\n\x0b\x0c\r"
@@ -40,9 +46,23 @@ def _class(chars: str) -> np.ndarray:
 _UPPER, _DIGIT, _SYMBOL, _BANG, _BLANK = (_class(c) for c in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", SYMBOLS, "!?", _SPACE))
 
 
+class _Buckets(dict):
+    """Word -> bucket, of words met lately."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        b = self[word] = xxhash.xxh64_intdigest(word) % HASHED
+        return b
+
+
+_BUCKETS = _Buckets()
+
+
 def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """A row of features for each line, and its number of words."""
-    raw = np.frombuffer(text.encode() + b"\n", dtype=np.uint8)
+    coded = text.encode()
+    raw = np.frombuffer(coded + b"\n", dtype=np.uint8)
     ends = np.flatnonzero(raw == 10)
     starts = np.concatenate(([0], ends[:-1] + 1))
     count = lambda mask: np.add.reduceat(mask, starts, dtype=np.int64)
@@ -68,6 +88,9 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     x[:, 9] = ~full
     x[:, 10] = full & np.array(repeated)
     x[0, 11] = x[-1, 12] = 1
+    buckets = np.fromiter(map(_BUCKETS.__getitem__, coded.lower().split()), dtype=np.int64, count=int(words.sum()))
+    at = np.repeat(np.arange(len(ends)) * HASHED, words) + buckets
+    x[:, SHAPE:] = np.bincount(at, minlength=len(ends) * HASHED).reshape(-1, HASHED) * (3 / np.maximum(1, words))[:, None]
     return x, words
 
 
@@ -139,36 +162,80 @@ def likelihood(field: Field, x: np.ndarray, y: np.ndarray, lengths: np.ndarray)
     return loss / n, Field(np.einsum("btk,btf->kf", p - own, x) / n, (xi - seen).sum(axis=(0, 1)) / n)
 
 
-def train(documents: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE, ridge: float = RIDGE, size: int = 512) -> Field:
-    """Adam over batches of segments of like length; whole texts, long ones in segments of SEGMENT lines."""
-    parts = []
-    for text, good in documents:
-        x = line_features(text)[0]
-        parts += [(x[i : i + SEGMENT], good) for i in range(0, len(x), SEGMENT)]
-    if len({good for _, good in parts}) < 2:
-        return Field.untrained()
-    parts.sort(key=lambda p: len(p[0]))
-    batches = []
-    for i in range(0, len(parts), size):
-        own = parts[i : i + size]
+def shared_lines(texts: list[str], words: list[np.ndarray]) -> list[np.ndarray]:
+    """For each text, which of its lines other, different texts have too.  None where these are most of the words: such
+    a text is a copy, not a page around shared lines."""
+    keys = [[line.strip(_SPACE).lower() for line in text.split("\n")] for text in texts]
+    own = {text: {k for k in ks if len(k) >= SHARED_CHARS} for text, ks in zip(texts, keys)}
+    holders = Counter(k for ks in own.values() for k in ks)
+    out = []
+    for ks, n in zip(keys, words):
+        found = np.array([holders[k] > 1 for k in ks])
+        out.append(found if n[found].sum() <= (1 - MIN_SHARE) * n.sum() else np.zeros(len(ks), dtype=bool))
+    return out
+
+
+def bounded_labels(labels: np.ndarray, margin: np.ndarray, words: np.ndarray, shared: np.ndarray, good: int) -> np.ndarray:
+    """The labels, moved as little as the document's label demands; margin: score of content over boilerplate."""
+    labels, total = np.where(shared, 0, labels), words.sum()
+    content = int(words[labels == 1].sum())
+    for i in np.argsort(-margin if good else margin, kind="stable"):
+        if (content >= MIN_SHARE * total) == bool(good) or not total:
+            break
+        if labels[i] != good and not shared[i]:
+            labels[i] = good
+            content += int(words[i]) * (1 if good else -1)
+    return labels
+
+
+def _batches(xs: list[np.ndarray], labels: list[np.ndarray], size: int) -> list[tuple]:
+    """Segments of like length, padded together; whole texts, long ones in segments of SEGMENT lines."""
+    parts = sorted(((x[i : i + SEGMENT], y[i : i + SEGMENT]) for x, y in zip(xs, labels) for i in range(0, len(x), SEGMENT)), key=lambda p: len(p[0]))
+    out = []
+    while parts:
+        n = max(1, min(512, size // len(parts[0][0])))
+        own, parts = parts[:n], parts[n:]
         lengths = np.array([len(x) for x, _ in own])
-        x = np.zeros((len(own), lengths.max(), FEATURES))
-        for row, (features, _) in zip(x, own):
-            row[: len(features)] = features
-        batches.append((x, np.repeat(np.array([good for _, good in own])[:, None], lengths.max(), axis=1), lengths))
+        x, y = np.zeros((len(own), lengths.max(), FEATURES), dtype=np.float32), np.zeros((len(own), lengths.max()), dtype=np.int64)
+        for i, (features, own_labels) in enumerate(own):
+            x[i, : len(features)], y[i, : len(features)] = features, own_labels
+        out.append((x, y, lengths))
+    return out
+
+
+class _Adam:
+    """Steps down the gradient of a field's likelihood, with a ridge."""
+
+    def __init__(self, rate: float, ridge: float):
+        self.rate, self.ridge, self.k, self.moments = rate, ridge, 0, {}
+
+    def step(self, field: Field, gradient: Field) -> None:
+        self.k += 1
+        for name in ("nodes", "steps"):
+            value = getattr(field, name)
+            g = getattr(gradient, name) + self.ridge * value
+            first, second = self.moments.get(name, (np.zeros_like(value), np.zeros_like(value)))
+            first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g**2
+            self.moments[name] = first, second
+            setattr(field, name, value - self.rate * (first / (1 - 0.9**self.k)) / (np.sqrt(second / (1 - 0.99**self.k)) + 1e-8))
+
+
+def train(documents: list[tuple[str, int]], epochs: int = EPOCHS, rounds: int = ROUNDS, rate: float = RATE, ridge: float = RIDGE, size: int = 8192) -> Field:
+    """A field from texts with the label of the document: good 1, bad 0.  size: lines of a batch."""
+    if len({good for _, good in documents}) < 2:
+        return Field.untrained()
+    found = [line_features(text) for text, _ in documents]
+    xs, words = [x.astype(np.float32) for x, _ in found], [n for _, n in found]
+    shared = shared_lines([text for text, _ in documents], words)
+    labels = [np.where(s, 0, good) for s, (_, good) in zip(shared, documents)]
     field = Field(np.zeros((2, FEATURES)), np.zeros((2, 2)))
-    moments = [np.zeros((2, FEATURES)), np.zeros((2, 2))], [np.zeros((2, FEATURES)), np.zeros((2, 2))]
-    k = 0
-    for _ in range(epochs):
-        for batch in batches:
-            k += 1
-            _, g = likelihood(field, *batch)
-            for i, (name, grad) in enumerate((("nodes", g.nodes), ("steps", g.steps))):
-                value = getattr(field, name)
-                grad = grad + ridge * value
-                moments[0][i] = 0.9 * moments[0][i] + 0.1 * grad
-                moments[1][i] = 0.99 * moments[1][i] + 0.01 * grad**2
-                setattr(field, name, value - rate * (moments[0][i] / (1 - 0.9**k)) / (np.sqrt(moments[1][i] / (1 - 0.99**k)) + 1e-8))
+    for _ in range(rounds):
+        adam, batches = _Adam(rate, ridge), _batches(xs, labels, size)
+        for _ in range(epochs):
+            for batch in batches:
+                adam.step(field, likelihood(field, *batch)[1])
+        for i, (x, (_, good)) in enumerate(zip(xs, documents)):
+            labels[i] = bounded_labels(np.array(field.decode(x)), x @ (field.nodes[1] - field.nodes[0]), words[i], shared[i], good)
     return field
 
 
