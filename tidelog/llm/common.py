@@ -53,6 +53,15 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) ->
     return found.orderBy("h", "doc_id", "text").limit(rows).select("text", label).coalesce(1)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """The columns of docs, but for those named, as one struct: carried so, no name of theirs can clash with inner ones."""
+    return F.struct(*(F.col(quoted(c)) for c in docs.columns if c not in without))
+
+
 def raw(text: str | Column = "text") -> Column:
     """The text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")

@@ -8,7 +8,8 @@ The exact table has a row for each key and the documents that hold it: reference
 Keys of two documents or more are *shared*; each shard of the key space has a cuckoo filter of its shared keys.
 Lines are tested against the filters where they are read, and only those that may be shared are joined with the
 exact table, which drops the filters' false positives.  When documents come or go, counts are added or taken off,
-and keys that become shared, or cease to be, are inserted into or deleted from the filters of their shards.
+and keys that become shared, or cease to be, are inserted into or deleted from the filters of their shards; what is
+not touched is neither shuffled nor written again.
 """
 
 from __future__ import annotations
@@ -19,14 +20,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from tidelog.llm.common import written
+from tidelog.llm.common import packed, written
 from tidelog.llm.cuckoo import CuckooFilter
 
 MIN_CHARS, SHARD_KEYS, FILTER_BYTES = 10, 20_000, 32 << 20
 
-#: Stands for a null doc_id: such rows are one document, larger than any other.
-NO_ID = 2**63 - 1
+#: Stand for a null doc_id, of a number or of anything else (told apart as text): such rows are one document, larger
+#: than any other.  A doc_id of just this value is taken for null.
+NO_ID, NO_NAME = 2**63 - 1, "\U0010ffff" * 2
+RESULTS = ("kept_text", "n_lines", "n_dropped")
 #: spark.sql and DuckDB: a translation of A-Z alone.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,13 +43,15 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit("\x20\t\n\x0b\x0c\r")), _UPPER, _LOWER)
 
 
-def _id() -> Column:
-    return F.coalesce(F.col("doc_id"), F.lit(NO_ID))
+def _id(docs: DataFrame) -> Column:
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit(NO_NAME))
 
 
 def _keyed(docs: DataFrame, min_chars: int, text_key: Column) -> DataFrame:
     """id, tk, line, hi, lo: the lines that count, by two 64-bit hashes of their keys, seeded apart."""
-    lines = docs.select(_id().alias("id"), text_key.alias("tk"), F.posexplode(split_lines(F.col("text"))).alias("line", "s"))
+    lines = docs.select(_id(docs).alias("id"), text_key.alias("tk"), F.posexplode(split_lines(F.col("text"))).alias("line", "s"))
     key = lines.select("id", "tk", "line", line_key(F.col("s")).alias("k")).filter(F.char_length("k") >= min_chars)
     return key.select("id", "tk", "line", F.xxhash64("k").alias("hi"), F.xxhash64(F.lit(1), "k").alias("lo"))
 
@@ -104,7 +110,11 @@ def may_be_shared(lines: DataFrame, filters: DataFrame, shards: int) -> DataFram
 
 def drops(lines: DataFrame, table: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
     """id, tk, lines: the numbers of the lines that each document loses."""
-    lines = may_be_shared(lines, filters, shards)
+    return lost_lines(may_be_shared(lines, filters, shards), table)
+
+
+def lost_lines(lines: DataFrame, table: DataFrame) -> DataFrame:
+    """drops() without the filters."""
     shared = table.filter("least <> most").select("hi", "lo", "least")
     lost = lines.join(shared, ["hi", "lo"]).filter("id <> least")
     return lost.groupBy("id", "tk").agg(F.collect_set("line").alias("lines"))
@@ -117,27 +127,30 @@ def _text_key() -> Column:
 
 def apply_drops(docs: DataFrame, lost: DataFrame) -> DataFrame:
     """docs with kept_text, n_lines, n_dropped."""
-    keyed = docs.withColumns({"_id": _id(), "_tk": _text_key()})
-    lost = lost.select(F.col("id").alias("_lid"), F.col("tk").alias("_ltk"), F.col("lines").alias("_lost"))
-    out = keyed.join(lost, (F.col("_id") == F.col("_lid")) & (F.col("_tk") == F.col("_ltk")), "left")
-    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(packed(docs, RESULTS).alias("own"), _id(docs).alias("id"), _text_key().alias("tk"))
+    out = keyed.join(lost.withColumnRenamed("lines", "lost"), ["id", "tk"], "left")
+    text = F.coalesce("own.text", F.lit(""))
     n = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    stay = F.array_except(F.sequence(F.lit(0), n - 1), "_lost")
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), "lost")
     # One array of one array, so that the lines are cut once and not for each index.
     kept = F.transform(F.array(split_lines(text)), lambda cut: F.array_join(F.transform(stay, lambda i: F.get(cut, i)), "\n"))[0]
-    out = out.withColumns({"kept_text": F.when(F.col("_lost").isNull(), text).otherwise(kept), "n_lines": n.cast("bigint"), "n_dropped": F.coalesce(F.size("_lost"), F.lit(0)).cast("bigint")})
-    return out.drop("_id", "_tk", "_lid", "_ltk", "_lost")
+    kept = F.when(F.col("lost").isNull(), text).otherwise(kept)
+    results = F.struct(kept.alias("kept_text"), n.cast("bigint").alias("n_lines"), F.coalesce(F.size("lost"), F.lit(0)).cast("bigint").alias("n_dropped"))
+    return out.select("own", results.alias("results")).select("own.*", "results.*")
 
 
 class LineIndex:
     """The exact table and its filters; insert() and delete() give a new index, and dedup() reads it.
 
-    For deletions the index keeps who holds what (postings: hi, lo, id), so that the smallest doc_id of a key is
-    right again when its document has gone.
+    For deletions the index keeps who holds what (postings: hi, lo, id, refs), so that the smallest doc_id of a key is
+    right again when its document has gone.  They lie in segments: each insertion or deletion appends one, of references
+    added or taken off, and compact() makes one of them.  A change scans the segments for its own keys (a semi-join,
+    broadcast while the change is small), counts these anew and edits the filters of their shards.  Rows with null doc_ids
+    are one document; null and empty texts hold no key.
     """
 
-    def __init__(self, postings: DataFrame, filters: DataFrame, shards: int, min_chars: int):
-        self.postings, self.filters, self.shards, self.min_chars = postings, filters, shards, min_chars
+    def __init__(self, segments: list[DataFrame], filters: DataFrame, shards: int, min_chars: int):
+        self.segments, self.filters, self.shards, self.min_chars = segments, filters, shards, min_chars
 
     @staticmethod
     def _posted(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -146,33 +159,47 @@ class LineIndex:
     @classmethod
     def build(cls, docs: DataFrame, min_chars: int = MIN_CHARS) -> LineIndex:
         postings = written(cls._posted(docs, min_chars))
-        shared = written(cls._shared(postings))
+        shared = written(cls._shared(cls._table(postings)))
         shards = _shards(shared.count())
-        return cls(postings, written(build_filters(shared, shards)), shards, min_chars)
+        return cls([postings], written(build_filters(shared, shards)), shards, min_chars)
+
+    @staticmethod
+    def _held(segments: list[DataFrame], keys: DataFrame | None = None) -> DataFrame:
+        """hi, lo, id, refs of all segments together; keys: only of the keys in hi there."""
+        every = None
+        for s in segments:
+            s = s if keys is None else s.join(keys, "hi", "left_semi").select("hi", "lo", "id", "refs")
+            every = s if every is None else every.unionByName(s)
+        return every.groupBy("hi", "lo", "id").agg(F.sum("refs").alias("refs")).filter("refs > 0") if len(segments) > 1 else every
 
     @staticmethod
     def _table(postings: DataFrame) -> DataFrame:
         return postings.groupBy("hi", "lo").agg(F.sum("refs").alias("refs"), F.min("id").alias("least"), F.max("id").alias("most"))
 
-    @classmethod
-    def _shared(cls, postings: DataFrame) -> DataFrame:
-        return cls._table(postings).filter("least <> most").select("hi", "lo")
+    @staticmethod
+    def _shared(table: DataFrame) -> DataFrame:
+        return table.filter("least <> most").select("hi", "lo")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._held(self.segments)
 
     @property
     def table(self) -> DataFrame:
         return self._table(self.postings)
 
-    def _changed(self, postings: DataFrame) -> LineIndex:
-        """Edits the filters of the shards with changed keys by inserting and deleting."""
-        postings, shards = written(postings), self.shards
-        old, new = self._shared(self.postings), self._shared(postings)
-        change = new.join(old, ["hi", "lo"], "left_anti").withColumn("add", F.lit(True)).union(old.join(new, ["hi", "lo"], "left_anti").withColumn("add", F.lit(False)))
+    def compact(self) -> LineIndex:
+        return LineIndex([written(self.postings)], self.filters, self.shards, self.min_chars)
+
+    def _changed(self, change: DataFrame) -> LineIndex:
+        """With one more segment; the filters of the shards with changed keys are edited by inserting and deleting."""
+        segments, shards = [*self.segments, change], self.shards
         # By hi alone, as filters tell keys by it: a key goes only when no shared key of that half is left in the shard.
-        still = new.select("hi", _shard(shards).alias("shard")).distinct()
-        before = old.select("hi", _shard(shards).alias("shard")).distinct()
-        change = change.select("hi", _shard(shards).alias("shard"), "add").distinct()
-        added = change.filter("add").join(before, ["hi", "shard"], "left_anti")
-        gone = change.filter("NOT add").join(still, ["hi", "shard"], "left_anti")
+        touched = written(change.select("hi").distinct())
+        old = self._shared(self._table(self._held(self.segments, touched))).select("hi", _shard(shards).alias("shard")).distinct()
+        new = self._shared(self._table(self._held(segments, touched))).select("hi", _shard(shards).alias("shard")).distinct()
+        states = old.withColumn("was", F.lit(1)).withColumn("is", F.lit(0)).union(new.withColumn("was", F.lit(0)).withColumn("is", F.lit(1)))
+        edits = written(states.groupBy("shard", "hi").agg(F.max("was").alias("was"), F.max("is").alias("is")).filter("was <> is").select("shard", "hi", (F.col("is") == 1).alias("add")))
 
         def edit(key, filters, changes):
             add = changes.column("add").to_numpy(zero_copy_only=False)
@@ -182,34 +209,39 @@ class LineIndex:
             data = f.dump() if f.insert(np.sort(keys[add])) else b""
             return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
 
-        edits = added.union(gone).groupBy("shard")
-        filters = written(self.filters.groupBy("shard").cogroup(edits).applyInArrow(edit, "shard int, data binary"))
+        own = edits.select("shard").distinct()
+        edited = self.filters.join(own, "shard", "left_semi").groupBy("shard").cogroup(edits.groupBy("shard")).applyInArrow(edit, "shard int, data binary")
+        filters = written(self.filters.join(own, "shard", "left_anti").unionByName(edited))
         if filters.filter("length(data) = 0").limit(1).count():  # a shard is full: more shards
-            shared = written(new)
+            shared = written(self._shared(self._table(self._held(segments))))
             shards = _shards(2 * shared.count())
             filters = written(build_filters(shared, shards))
-        return LineIndex(postings, filters, shards, self.min_chars)
+        return LineIndex(segments, filters, shards, self.min_chars)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """With new documents, whose ids the index must not have yet."""
-        return self._changed(self.postings.unionByName(self._posted(docs, self.min_chars)))
+        return self._changed(written(self._posted(docs, self.min_chars)))
 
     def delete(self, ids: DataFrame) -> LineIndex:
-        """Without the documents of column doc_id."""
-        gone = ids.select(_id().alias("id")).distinct()
-        return self._changed(self.postings.join(gone, "id", "left_anti").select("hi", "lo", "id", "refs"))
+        """Without the documents of column doc_id; ids that the index does not have change nothing."""
+        gone = ids.select(_id(ids).alias("id")).distinct()
+        held = self.postings.join(gone, "id", "left_semi")
+        return self._changed(written(held.select("hi", "lo", "id", (-F.col("refs")).alias("refs"))))
 
     def dedup(self, docs: DataFrame) -> DataFrame:
-        """docs (all of them in the index) with kept_text, n_lines, n_dropped."""
-        return apply_drops(docs, drops(_keyed(docs, self.min_chars, _text_key()), self.table, self.filters, self.shards))
+        """docs (all of them in the index) with kept_text, n_lines, n_dropped; references are read of those keys alone
+        that pass the filters."""
+        lines = written(may_be_shared(_keyed(docs, self.min_chars, _text_key()), self.filters, self.shards))
+        table = self._table(self._held(self.segments, lines.select("hi").distinct()))
+        return apply_drops(docs, lost_lines(lines, table))
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with kept_text, n_lines (before dropping), n_dropped, in one batch.
 
     Null or empty text: one empty line, kept.  Rows with a null doc_id are one document, larger than all others.
-    Rows that repeat a doc_id belong to one document: its lines do not make a key shared.  Docs may have any other
-    columns, none named kept_text, n_lines or n_dropped; they are carried along.
+    Rows that repeat a doc_id belong to one document: its lines do not make a key shared.  An empty docs gives no rows.
+    All other columns are carried along; those that bear a result's name are replaced.
     """
     lines = written(_keyed(docs, min_chars, _text_key()))
     table = written(references(lines).filter("least <> most"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WORD, written
+from tidelog.llm.common import WORD, packed, written
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, "17"
 RESULTS = ("size", "source_size", "target", "taken")
@@ -57,9 +57,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     0.  A null source is one source, the last.  Rows that repeat a doc_id follow each other in the seeded order; which
     of equal rows is cut does not show.  Sources without words have the target 0.  Reruns agree.
     """
-    own = [c for c in docs.columns if c not in RESULTS]
     h = _hash(seed)
-    base = docs.select(*own, F.col("source").alias("_s"), n_words().alias("_n"), h.alias("_h"), F.substring(h, 1, 3).alias("_b"))
+    base = docs.select(packed(docs, RESULTS).alias("own"), F.col("source").alias("_s"), n_words().alias("_n"), h.alias("_h"), F.substring(h, 1, 3).alias("_b"))
     sums = written(base.groupBy("_s", "_b").agg(F.sum("_n").alias("_n")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     plan = targets(sums, weights, cap).withColumn("_w", F.least(whole, F.lit(cap)))
@@ -77,7 +76,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     ahead = F.col("_edge.before") + F.coalesce(F.sum("_n").over(w), F.lit(0))
     cut = rows.filter(F.col("_b") == F.col("_edge._b")).withColumn("_x", F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_e") - ahead)))
     taken = F.col("_w") * F.col("_n") + F.col("_x")
-    return others.unionByName(cut).select(*own, F.col("_n").alias("size"), "source_size", "target", taken.cast("bigint").alias("taken"))
+    results = F.struct(F.col("_n").alias("size"), "source_size", "target", taken.cast("bigint").alias("taken"))
+    return others.unionByName(cut).select("own", results.alias("results")).select("own.*", "results.*")
 
 
 def sample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
@@ -86,20 +86,17 @@ def sample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
     A last part of a repetition has the document's first words, up to the last one's end, and, where docs has the
     columns, n_chars to match.  Documents of no words are not in the mix.
     """
-    kept = [F.col(c).alias(f"_own_{c}") for c in docs.columns]
-    mixed = mix(docs.select("doc_id", "text", "source", *kept), weights, cap, seed).filter("taken > 0")
+    rest = packed(docs, ("doc_id", "text", "source"))
+    mixed = mix(docs.select("doc_id", "text", "source", rest.alias("rest")), weights, cap, seed).filter("taken > 0")
     parts = F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)
-    rows = mixed.withColumn("_part", F.explode(parts)).withColumn("_words", F.least("size", F.col("taken") - F.col("_part") * F.col("size")).cast("int"))
+    rows = mixed.withColumn("part", F.explode(parts)).withColumn("words", F.least("size", F.col("taken") - F.col("part") * F.col("size")).cast("int"))
     words = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    text = F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words")), ""))
-    rows = rows.withColumn("_text", text)
-    out = []
+    cut = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("words")), ""))
+    rows, out = rows.withColumn("cut", cut), []
     for field in docs.schema:
-        c = F.col(f"_own_{field.name}")
-        if field.name == "text":
-            c = F.col("_text")
-        elif field.name == "n_chars":
-            c = F.when(F.col("_words") < F.col("size"), F.char_length("_text").cast(field.dataType)).otherwise(c)
+        c = F.col("cut") if field.name == "text" else F.col(field.name) if field.name in ("doc_id", "source") else F.col("rest").getField(field.name)
+        if field.name == "n_chars":
+            c = F.when(F.col("words") < F.col("size"), F.char_length("cut").cast(field.dataType)).otherwise(c)
         out.append(c.alias(field.name))
     return rows.select(*out)
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WORD, bounded_sample, small_rows
+from tidelog.llm.common import WORD, bounded_sample, quoted, small_rows
 
 SAMPLE_DOCS, SEGMENT, EPOCHS, ROUNDS, RATE, RIDGE, MIN_SHARE = 4000, 256, 20, 3, 0.05, 1e-3, 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -280,7 +280,7 @@ def judge(docs: DataFrame, field: Field, min_share: float = MIN_SHARE) -> DataFr
     """
     sent, own = field.dump(), [c for c in docs.columns if c not in RESULTS]
     fields = [docs.schema[c] for c in own]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
     at = own.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,9 +295,10 @@ def judge(docs: DataFrame, field: Field, min_share: float = MIN_SHARE) -> DataFr
                 for c, v in zip(cols, (*counts, failed, share, not failed and share >= min_share)):
                     c.append(v)
             types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(cols, types))], names=[*own, *RESULTS])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(cols, types))], names=[*b.schema.names, *RESULTS])
 
-    return docs.select(*own).mapInArrow(run, f"{kinds}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean")
+    rows = docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(own)))
+    return rows.mapInArrow(run, f"{kinds}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean").toDF(*own, *RESULTS)
 
 
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept")

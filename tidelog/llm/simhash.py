@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import raw, small_rows, written
+from tidelog.llm.common import packed, raw, small_rows, written
 from tidelog.llm.graph import components
 
 BITS, RADIUS, SHINGLE, SEED, BUCKET, SPLITS = 64, 3, 3, 42, 64, 3
@@ -116,14 +116,15 @@ def keep_smallest(docs: DataFrame, placed: DataFrame) -> DataFrame:
     Of rows that repeat the kept doc_id one stays (the one with the smallest text); rows whose component has no
     doc_id at all stay.
     """
-    found = placed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("_c"), F.count(F.lit(1)).alias("_n"))
-    found = written(found.filter("_c <> doc_id OR _n > 1"))
-    gone = found.filter("_c <> doc_id").select(F.col("doc_id").alias("_gone"))
-    kept = docs.filter("doc_id IS NOT NULL").join(gone, docs.doc_id == F.col("_gone"), "left_anti")
-    if found.filter("_c = doc_id AND _n > 1").limit(1).count():
-        w = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), *(c for c in docs.columns if c not in ("doc_id", "text")))
-        kept = kept.withColumn("_row", F.row_number().over(w)).filter("_row = 1").drop("_row")
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    found = placed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    found = written(found.filter("least <> doc_id OR n > 1"))
+    rows = docs.select(packed(docs).alias("own"))
+    kept = rows.filter("own.doc_id IS NOT NULL").join(found.filter("least <> doc_id").select("doc_id"), F.col("own.doc_id") == F.col("doc_id"), "left_anti")
+    if found.filter("least = doc_id AND n > 1").limit(1).count():
+        others = [F.col("own").getField(c) for c in docs.columns if c not in ("doc_id", "text")]
+        w = Window.partitionBy("own.doc_id").orderBy(F.col("own.text").asc_nulls_first(), *others)
+        kept = kept.withColumn("row", F.row_number().over(w)).filter("row = 1").drop("row")
+    return kept.unionByName(rows.filter("own.doc_id IS NULL")).select("own.*")
 
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
