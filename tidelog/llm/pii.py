@@ -22,11 +22,13 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidelog.llm.common import small_rows
+from tidelog.llm.common import quoted, small_rows
 
-#: For tests and examples; real keys are passed in.
-KEY, ROUNDS = b"not a secret", 10
+#: The key is passed in, or set in the session under this name; without either, a public key, which anyone can turn
+#: back, stands in (tests, examples).
+KEY_SETTING, KEY, ROUNDS = "spark.tidelog.pseudonymKey", b"not a secret", 10
 _DAYS = (datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal())
 #: Where year, month and day stand.
 _DAY_FIRST, _MONTH_FIRST = (2, 1, 0), (2, 0, 1)
@@ -250,14 +252,16 @@ def pseudonymize(text: str, names: Pseudonyms) -> tuple[str, list[tuple[str, int
     return "".join(out) + text[at:], spans
 
 
-def pseudonymized(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
+def pseudonymized(docs: DataFrame, key: bytes | None = None, back: bool = False) -> DataFrame:
     """docs with text replaced, and n_found, kinds (comma-separated, in order), spans (start and end of each).
 
-    One pass over whole texts without a shuffle.  Null text stays null and has none; other columns are carried
-    along, and those that bear a result's name are replaced.  back: turns pseudonyms into the values again.
+    One pass over whole texts without a shuffle.  Null text stays null and has none; null doc_ids and repeated rows are
+    rows like others, an empty docs gives no rows.  Other columns are carried along, and those that bear a result's name
+    are replaced.  key: by default, the session's KEY_SETTING.  back: turns pseudonyms into the values again.
     """
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY.decode()).encode()
     own = [c for c in docs.columns if c not in RESULTS]
-    at, kinds = own.index("text"), ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
+    at, kinds = own.index("text"), ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Pseudonyms(key, back)
@@ -265,9 +269,10 @@ def pseudonymized(docs: DataFrame, key: bytes = KEY, back: bool = False) -> Data
             found = [(None, []) if t is None else pseudonymize(t, names) for t in b.column(at).to_pylist()]
             cols = [pa.array([t for t, _ in found], b.column(at).type) if i == at else c for i, c in enumerate(b.columns)]
             cols += [pa.array([len(s) for _, s in found], pa.int64()), pa.array([",".join(x[0] for x in s) for _, s in found], pa.string()), pa.array([[y for x in s for y in x[1:]] for _, s in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*own, *RESULTS])
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *RESULTS])
 
-    return docs.select(*own).mapInArrow(run, f"{kinds}, n_found long, kinds string, spans array<int>")
+    rows = docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(own)))
+    return rows.mapInArrow(run, f"{kinds}, n_found long, kinds string, spans array<int>").toDF(*own, *RESULTS)
 
 
 RESULTS = ("n_found", "kinds", "spans")

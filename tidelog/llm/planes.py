@@ -8,9 +8,10 @@ plane) and the planes.  A chunk index tells each block's place in the stream of
 The blocks of a store lie in Parquet files, as binary rows, so that Spark's committer makes writes whole, lost
 tasks are run again, and any file system that Spark reaches will do:
 
-    chunks/  part, chunk, n_ids, payload    the blocks; parts are consecutive ranges of doc_id
-    docs/    part, doc_id, row, at, n_ids   at: ids before the document inside its part
-    index/   part, chunk, first, n_ids, bytes, and parts/ part, first
+    rows/    part, chunk, n_ids, payload    the blocks; parts are consecutive ranges of doc_id
+             part, doc_id, row, at, n_ids   the documents (payload null); at: ids before the document inside its part
+    parts/   part, first                    ids before the part
+    index/   part, chunk, first, n_ids, bytes
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def unpack(block: bytes) -> np.ndarray:
 
 
 class TokenStore:
-    """A written store; ids(), documents() and index() read it."""
+    """A written store; ids(), documents, index and digests() read it."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -86,6 +87,21 @@ class TokenStore:
         """The chunk index: part, chunk, first (the block's first id in the whole stream), n_ids, bytes."""
         return self._read("index")
 
+    def ids(self, first: int, last: int) -> np.ndarray:
+        """The ids at places first to last - 1 of the whole stream, for ranges that the driver can hold.
+
+        The chunk index names the blocks; only these are read (by part and chunk) and decompressed.
+        """
+        found = self.index.filter((F.col("first") < last) & (F.col("first") + F.col("n_ids") > first))
+        places = {(r.part, r.chunk): r.first for r in found.select("part", "chunk", "first").collect()}  # a row for each block of the range
+        if not places:
+            return np.zeros(0, dtype="<u4")
+        wanted = F.broadcast(found.select("part", "chunk"))
+        near = self.blocks.filter(F.col("part").isin(sorted({p for p, _ in places}))).join(wanted, ["part", "chunk"], "left_semi")
+        rows = sorted(near.select("part", "chunk", "payload").collect(), key=lambda r: places[r.part, r.chunk])
+        out = [unpack(r.payload)[max(0, first - at) : max(0, last - at)] for r in rows for at in [places[r.part, r.chunk]]]
+        return np.concatenate(out)
+
     def digests(self) -> DataFrame:
         """doc_id, start, n_tokens, ids_crc32, from the blocks: each is decompressed once, beside the list of the
         document pieces that lie in it (no more than its ids); a document's pieces are joined by their checksums."""

@@ -95,7 +95,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str |
     """doc_id, size, text_crc32, law, shard, slot (the record's place in its shard, gapless from 0), grown_shard,
     virtual_slot, map_version.
 
-    The law is bytes: shards are of nearly equal size, as far as single records allow.  grown_shard is null.  A
+    The law is bytes: shards are of nearly equal size, as far as single records allow.  Rows of one text are not held
+    together: doc_id is hashed with the text's checksum, so a group of copies, which may be a third of all rows, is spread
+    over all slots.  grown_shard is null.  A
     place is the slot's first place, from the counts, plus the place in the slot by doc_id; so no task sorts
     more than a slot.  Null doc_ids and null texts are hashed like any others; equal rows share a slot.  An empty docs
     gives no rows.  Other columns are not read.  path: where the map's versions go (default: a new folder).
