@@ -33,7 +33,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         return 0
     parts = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(p, SEED) for p in parts), dtype="<u8")
+    return majority(np.fromiter((digest(p, SEED) for p in parts), dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 without any."""
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(h), 8192):
         ones += np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
