@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words are runs of anything but ASCII white space (0x20, 0x09-0x0D); bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,13 +21,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share; a temporary one only where none is configured."""
+def _root(spark: SparkSession) -> str:
+    """This application's folder in the one that driver and executors share.
+
+    Where none is configured, a local session (tests) gets a temporary one; a cluster has no folder to guess.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp()}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share."""
+    return f"{_root(spark)}/{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this application's operators have written between their steps.  Results that are still to be read
+    depend on it, so it is for the end of an application, or of a job whose results are stored."""
+    _SHIPPED.discard(spark.sparkContext.applicationId)
+    path = spark._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -92,10 +112,20 @@ def ship(spark: SparkSession) -> None:
 BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents; where the session leaves them open, the sizes of BATCHES are set."""
+def prepare(spark: SparkSession) -> None:
+    """The sizes of BATCHES, where the session leaves them open, and the package on the workers."""
     for k, v in BATCHES.items():
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
     ship(spark)
+
+
+def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(f, schema) on workers that have the package."""
+    prepare(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

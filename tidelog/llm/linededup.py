@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from tidelog.llm.common import packed, written
+from tidelog.llm.common import mapped, packed, prepare, written
 from tidelog.llm.cuckoo import CuckooFilter
 
 MIN_CHARS, SHARD_KEYS, FILTER_BYTES = 10, 20_000, 32 << 20
@@ -80,6 +80,7 @@ def build_filters(shared: DataFrame, shards: int) -> DataFrame:
         keys = np.sort(table.column("hi").to_numpy()).view(np.uint64)
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([CuckooFilter.of(np.unique(keys)).dump()], pa.binary())})
 
+    prepare(shared.sparkSession)
     return shared.select(_shard(shards).alias("shard"), "hi").groupBy("shard").applyInArrow(build, "shard int, data binary")
 
 
@@ -105,7 +106,7 @@ def may_be_shared(lines: DataFrame, filters: DataFrame, shards: int) -> DataFram
             if keep.any():
                 yield b.filter(pa.array(keep))
 
-    return lines.mapInArrow(run, lines.schema)
+    return mapped(lines, run, lines.schema)
 
 
 def drops(lines: DataFrame, table: DataFrame, filters: DataFrame, shards: int) -> DataFrame:

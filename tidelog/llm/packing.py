@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import small_rows, written
+from tidelog.llm.common import mapped, small_rows, written
 from tidelog.llm.tokenizing import encoder, vocabulary
 
 TIERS = (512, 1024, 2048, 4096)
@@ -155,7 +155,7 @@ def _windows(docs: DataFrame, vocab: str, tiers: tuple[int, ...], pool: int, sch
             yield from task.rows(windows)
             yield from task.rows([[p] for p in waiting], whole=False)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return mapped(docs.select("doc_id", "text"), run, schema)
 
 
 def _ends(waiting: DataFrame, tiers: tuple[int, ...], round_: int, last: bool, schema: str) -> DataFrame:
@@ -173,7 +173,7 @@ def _ends(waiting: DataFrame, tiers: tuple[int, ...], round_: int, last: bool, s
             yield from task.rows(windows)
             yield from task.rows([[p] for p in rests], whole=False)
 
-    return waiting.mapInArrow(run, schema)
+    return mapped(waiting, run, schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary_path: str | None = None, tiers: tuple[int, ...] = TIERS, pool: int = POOL, step: int = STEP) -> DataFrame:

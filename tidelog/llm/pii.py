@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import quoted, small_rows
+from tidelog.llm.common import mapped, quoted, small_rows
 
 #: The key is passed in, or set in the session under this name; without either, a public key, which anyone can turn
 #: back, stands in (tests, examples).
@@ -272,7 +272,7 @@ def pseudonymized(docs: DataFrame, key: bytes | None = None, back: bool = False)
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *RESULTS])
 
     rows = docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(own)))
-    return rows.mapInArrow(run, f"{kinds}, n_found long, kinds string, spans array<int>").toDF(*own, *RESULTS)
+    return mapped(rows, run, f"{kinds}, n_found long, kinds string, spans array<int>").toDF(*own, *RESULTS)
 
 
 RESULTS = ("n_found", "kinds", "spans")

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import shared_folder, small_rows, written
+from tidelog.llm.common import mapped, shared_folder, small_rows, written
 from tidelog.llm.tokenizing import encoder, vocabulary
 
 BLOCK, LEVEL, MAGIC = 65_536, 3, b"BPS1"
@@ -113,11 +113,11 @@ class TokenStore:
         pieces = pieces.select("part", "chunk", F.struct("doc_id", "row", "start", "n_tokens", low.cast("int").alias("low"), high.cast("int").alias("high")).alias("p"))
         lists = pieces.groupBy("part", "chunk").agg(F.collect_list("p").alias("ps"))
         kind = self._read("rows").schema["doc_id"].dataType.simpleString()
-        sums = self.blocks.join(lists, ["part", "chunk"]).select("part", "chunk", "payload", "ps").mapInArrow(_piece_sums, f"part int, row long, doc_id {kind}, start long, n_tokens long, chunk long, n long, crc long")
+        sums = mapped(self.blocks.join(lists, ["part", "chunk"]).select("part", "chunk", "payload", "ps"), _piece_sums, f"part int, row long, doc_id {kind}, start long, n_tokens long, chunk long, n long, crc long")
         sums = written(sums)
         whole = sums.filter("n = n_tokens").select("doc_id", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
         parts = sums.filter("n < n_tokens").groupBy("part", "row").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("chunk", "n", "crc"))).alias("ps"))
-        joined = parts.select("doc_id", "start", "n_tokens", "ps").mapInArrow(_join_sums, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+        joined = mapped(parts.select("doc_id", "start", "n_tokens", "ps"), _join_sums, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
         return whole.unionByName(joined)
 
 
@@ -221,7 +221,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary_path: str
     n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     dealt = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    dealt.mapInArrow(run, f"part int, doc_id {doc_kind}, row long, chunk long, at long, n_ids long, payload binary").write.parquet(f"{path}/rows")
+    mapped(dealt, run, f"part int, doc_id {doc_kind}, row long, chunk long, at long, n_ids long, payload binary").write.parquet(f"{path}/rows")
     store = TokenStore(spark, path)
     # One row for each part, so the driver may add them up.
     totals = {r.part: r.n for r in store.blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}

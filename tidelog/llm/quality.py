@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WORD, bounded_sample, quoted, small_rows
+from tidelog.llm.common import WORD, bounded_sample, mapped, quoted, small_rows
 
 SAMPLE_DOCS, SEGMENT, EPOCHS, ROUNDS, RATE, RIDGE, MIN_SHARE = 4000, 256, 20, 3, 0.05, 1e-3, 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -249,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_DOCS) -> Field:
         data = [(t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         yield pa.RecordBatch.from_arrays([pa.array([train(data).dump()])], names=["field"])
 
-    found = chosen.mapInArrow(run, "field string").collect()
+    found = mapped(chosen, run, "field string").collect()
     return Field.load(found[0].field) if found else Field.untrained()
 
 
@@ -298,7 +298,7 @@ def judge(docs: DataFrame, field: Field, min_share: float = MIN_SHARE) -> DataFr
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(cols, types))], names=[*b.schema.names, *RESULTS])
 
     rows = docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(own)))
-    return rows.mapInArrow(run, f"{kinds}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean").toDF(*own, *RESULTS)
+    return mapped(rows, run, f"{kinds}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean").toDF(*own, *RESULTS)
 
 
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import packed, raw, small_rows, written
+from tidelog.llm.common import mapped, packed, raw, small_rows, written
 from tidelog.llm.graph import components
 
 BITS, RADIUS, SHINGLE, SEED, BUCKET, SPLITS = 64, 3, 3, 42, 64, 3
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", raw().alias("t")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return mapped(docs.select("doc_id", raw().alias("t")), run, f"doc_id {kind}, fp long")
 
 
 def masks(radius: int = RADIUS, split: int = 0) -> list[int]:

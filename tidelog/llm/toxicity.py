@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bounded_sample, small_rows
+from tidelog.llm.common import bounded_sample, mapped, small_rows
 
 BUCKETS, SKIPS = 1 << 20, (1, 2, 3)
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 16.0, 0.0, 10
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         m = train(data) if data else Model(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0)
         yield pa.RecordBatch.from_arrays([pa.array([*m.buckets.tolist(), -1], pa.int64()), pa.array([*m.weights.tolist(), m.bias], pa.float64())], names=["bucket", "weight"])
 
-    found = chosen.mapInArrow(run, "bucket long, weight double").toPandas().sort_values("bucket")
+    found = mapped(chosen, run, "bucket long, weight double").toPandas().sort_values("bucket")
     if not len(found):
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0)
     return Model(found.bucket.to_numpy()[1:], found.weight.to_numpy()[1:], float(found.weight.iloc[0]))
@@ -127,7 +127,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double, predicted int")
 
 
 def fold() -> Column:
