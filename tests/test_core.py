@@ -9,6 +9,7 @@ from tidelog.functions.keys import encode_signed, encode_unsigned
 from tidelog.operators import lookup
 from tidelog.operators.resolve import resolve
 from tidelog.plans.cascade import capacity, due, layout
+from tidelog.sources.store import Store
 
 FIXTURE = [("61", "01"), ("6100", "02"), ("7f", "03"), ("80", "04"), ("ff", "05"), ("61", "06"), ("80", None), ("62", None), ("7f", None), ("7f", "07"), ("", "08")]
 STATE = {"": "08", "61": "06", "6100": "02", "7f": "07", "ff": "05"}
@@ -44,8 +45,9 @@ def test_many_ranges_and_keys(spark, log):
     for r in lookup.multi_scan(log, ranges).orderBy("key").collect():
         got.setdefault(r.range_id, []).append(r.key.hex())
     assert all(got.get(i, []) == x[4] for i, x in enumerate(RANGES))
-    with pytest.raises(ValueError):
-        lookup.multi_scan(log, ranges, max_ranges=3)
+    state = resolve(log, ["key"])
+    rows = lambda n: sorted((r.range_id, r.key.hex(), r.value.hex(), r.seq) for r in lookup.range_join(state, ranges, nested=n).collect())
+    assert rows(0) == rows(100) and len(rows(0)) == sum(len(x[4]) for x in RANGES)
     wanted = spark.createDataFrame([(_b(k),) for k in ("61", "62", "80", "99")], "key binary")
     assert {r.key.hex(): r.found for r in lookup.multi_get(log, wanted).collect()} == {"61": True, "62": False, "80": False, "99": False}
 
@@ -84,6 +86,130 @@ def test_key_order(spark):
     rows = spark.createDataFrame([(x,) for x in (-(2**63), -5, -1, 0, 1, 255, 256, 2**63 - 1)], "x long")
     assert [r.x for r in rows.orderBy(encode_signed(F.col("x"))).collect()] == sorted(r.x for r in rows.collect())
     assert KeyRange.prefix(b"a\xff").upper == b"b" and KeyRange.prefix(b"\xff").upper is None
+    assert KeyRange.prefix("12").upper == "13" and KeyRange.prefix("a\U0010ffff").upper == "b" and KeyRange.prefix("").upper is None
+
+
+def test_ranges_by_equality(spark):
+    """Beyond the nested number: random, nested, equal, inverted and unbounded ranges against brute force."""
+    rnd = random.Random(5)
+    keys = sorted({bytes(rnd.randrange(6) for _ in range(rnd.randrange(1, 5))) for _ in range(300)})
+    bound = lambda: None if rnd.random() < 0.05 else rnd.choice(keys) if rnd.random() < 0.6 else bytes(rnd.randrange(6) for _ in range(rnd.randrange(5)))
+    ranges = [(i, bound(), bound(), rnd.random() < 0.5, rnd.random() < 0.5) for i in range(400)]
+    state = spark.createDataFrame([(bytearray(k), i) for i, k in enumerate(keys)], "key binary, x int").repartition(3)
+    frame = spark.createDataFrame([(i, a and bytearray(a) if a else a if a is None else bytearray(a), None if b is None else bytearray(b), c, d) for i, a, b, c, d in ranges], "range_id int, lower binary, upper binary, incl_lower boolean, incl_upper boolean")
+    want = {(i, k) for i, a, b, c, d in ranges for k in keys if (a is None or k > a or c and k == a) and (b is None or k < b or d and k == b)}
+    out = lookup.range_join(state, frame, nested=10)
+    got = [(r.range_id, bytes(r.key)) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want) and "NestedLoop" not in out._jdf.queryExecution().toString()
+    empty = spark.createDataFrame([], "key binary, x int")
+    assert lookup.range_join(empty, frame, nested=10).count() == 0
+
+
+def test_runs_that_do_not_overlap_are_read_without_a_shuffle(spark, tmp_path):
+    rows = spark.range(300).select(encode_unsigned(F.col("id")).alias("key"), F.col("id").cast("string").cast("binary").alias("value"))
+    t = Table.create(spark, f"{tmp_path}/t")
+    t.put(rows.filter("value < '2'"), compact=False)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(t.state()) and "Window" not in plan(t.state())
+    t.insert((10_000).to_bytes(8), b"far")
+    t.insert((10_001).to_bytes(8), b"")
+    assert "Exchange" not in plan(t.state())
+    t.put(rows, compact=False)
+    assert "Exchange" in plan(t.state()) and t.state().count() == 301
+    r = KeyRange((10_000).to_bytes(8), None)
+    assert "Exchange" not in plan(t.scan(r, ordered=False)) and t.find_range(r) == {(10_000).to_bytes(8): b"far"}
+    t.view("state_of_t")
+    assert spark.sql("SELECT count(*) AS n, max(length(value)) AS m FROM state_of_t WHERE key >= X'00000000000000FA'").first() == (51, 3)
+
+
+def test_many_lookups_by_list_and_by_join(spark, tmp_path, monkeypatch):
+    rows = spark.range(500).select(encode_unsigned(F.col("id") * 2).alias("key"), F.col("id").cast("string").cast("binary").alias("value"))
+    t = Table.create(spark, f"{tmp_path}/t")
+    t.put(rows)
+    t.delete(rows.limit(20).select("key"))
+    t.insert((4).to_bytes(8), b"again")
+    wanted = spark.createDataFrame([(bytearray(i.to_bytes(8)),) for i in [4, 4, 0, 5, 100, 998, 2000]] + [(None,)], "key binary")
+    got = []
+    for few in (1000, 2):
+        monkeypatch.setattr("tidelog.table.FEW", few)
+        got.append(sorted((r.key and int.from_bytes(r.key), r.found, r.value and bytes(r.value)) if r.key else (-1, r.found, r.value) for r in t.find_many(wanted).collect()))
+    assert got[0] == got[1] == [(-1, False, None), (0, False, None), (4, True, b"again"), (4, True, b"again"), (5, False, None), (100, True, b"50"), (998, True, b"499"), (2000, False, None)]
+    assert t.find_many(wanted.limit(0)).count() == 0
+
+
+def test_snapshots_say_when_versions_are_gone(spark, tmp_path):
+    t = Table.create(spark, f"{tmp_path}/t")
+    for key, value in ((b"a", b"1"), (b"b", b"2"), (b"a", b"")):
+        t.insert(key, value)
+        t.flush()
+    state = lambda df: {bytes(r.key): bytes(r.value) for r in df.collect()}
+    assert [state(t.as_of(i)) for i in (0, 1, 2, 3)] == [{}, {b"a": b"1"}, {b"a": b"1", b"b": b"2"}, {b"b": b"2"}]
+    held = t.scan()
+    t.compact()
+    assert state(t.as_of(3)) == {b"b": b"2"} == state(held) == state(t.state())
+    with pytest.raises(ValueError):
+        Table.open(spark, f"{tmp_path}/t").as_of(2)
+    assert t.vacuum(versions=50) == [] and state(held) == {b"b": b"2"}
+    assert len([x for x in t.vacuum() if x.startswith("run-")]) == 3 and state(t.state()) == {b"b": b"2"}
+
+
+def test_racing_writers(spark, tmp_path):
+    """Of writers that commit one version at once, one wins, and its rows are what is read."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    Table.create(spark, f"{tmp_path}/t")
+    tables = [Table.open(spark, f"{tmp_path}/t") for _ in range(4)]
+    for i, t in enumerate(tables):
+        t.insert(b"k", b"%d" % i)
+
+    def flush(i):
+        try:
+            tables[i].flush()
+        except FileExistsError:
+            return None
+        return i
+
+    with ThreadPoolExecutor(4) as pool:
+        won = [i for i in pool.map(flush, range(4)) if i is not None]
+    assert len(won) == 1 and Table.open(spark, f"{tmp_path}/t").find_range() == {b"k": b"%d" % won[0]}
+    store = Store(spark, f"{tmp_path}/s")
+    with ThreadPoolExecutor(8) as pool:
+        done = list(pool.map(lambda i: _try(lambda: store.write_new("x", str(i))), range(24)))
+    assert done.count(True) == 1 and store.read("x") == str(done.index(True)) and store.names("") == ["x"]
+
+
+def _try(f):
+    try:
+        f()
+        return True
+    except FileExistsError:
+        return False
+
+
+def test_6400_operations_against_a_dict(spark, tmp_path):
+    rnd, model = random.Random(100), {}
+    t = Table.create(spark, f"{tmp_path}/t", flush_threshold=500, fanout=3)
+    some = lambda n, top: bytes(rnd.randrange(256) for _ in range(rnd.randrange(1, top + 1)))
+    for i in range(6400):
+        key = some(1, 3) if rnd.random() < 0.7 or not model else rnd.choice(list(model)[:50])
+        if rnd.random() < 0.3:
+            t.erase(key)
+            model.pop(key, None)
+        else:
+            value = some(1, 20)
+            t.insert(key, value)
+            model[key] = value
+        if i % 1600 == 800:
+            t.close()
+            t = Table.open(spark, f"{tmp_path}/t")
+        if i % 800 == 400:
+            for k in (key, some(1, 3)):
+                assert t.find(k) == model.get(k)
+            low, high = some(1, 6), some(1, 6)
+            modes = (rnd.random() < 0.5, rnd.random() < 0.5)
+            inside = lambda k: (k > low or modes[0] and k == low) and (k < high or modes[1] and k == high)
+            assert t.find_range(KeyRange(low, high, *modes)) == {k: v for k, v in sorted(model.items()) if inside(k)}
+    assert t.find_range() == dict(sorted(model.items())) and len(t.manifest.runs) < 6
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -160,6 +286,42 @@ def test_stream(spark, tmp_path):
     assert Table.open(spark, f"{tmp_path}/t").find_range() == {b"a": b"1", b"b": b"2"}
 
 
+def _rows(spark, path, pairs):
+    spark.createDataFrame([(bytearray(k), bytearray(v)) for k, v in pairs], "key binary, value binary").coalesce(1).write.mode("append").parquet(path)
+
+
+def _run(spark, path, table, checkpoint):
+    from tidelog.streaming.ingest import sink
+
+    q = sink(spark.readStream.schema("key binary, value binary").parquet(path), table, checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def test_two_streams_into_one_table(spark, tmp_path):
+    t = Table.create(spark, f"{tmp_path}/t")
+    for name in ("a", "b"):
+        _rows(spark, f"{tmp_path}/in_{name}", [(name.encode(), b"1")])
+        _run(spark, f"{tmp_path}/in_{name}", t, f"{tmp_path}/ck_{name}")
+    assert Table.open(spark, f"{tmp_path}/t").find_range() == {b"a": b"1", b"b": b"1"} and len(t.manifest.streams) == 2
+
+
+def test_a_batch_runs_again_after_a_crash(spark, tmp_path):
+    """The batch is committed to the table, but not to the stream's own log; another write follows in between."""
+    t = Table.create(spark, f"{tmp_path}/t")
+    _rows(spark, f"{tmp_path}/in", [(b"a", b"1")])
+    _run(spark, f"{tmp_path}/in", t, f"{tmp_path}/ck")
+    t.insert(b"a", b"later")
+    t.flush()
+    for x in (tmp_path / "ck" / "commits").iterdir():
+        x.unlink()
+    t = Table.open(spark, f"{tmp_path}/t")
+    _run(spark, f"{tmp_path}/in", t, f"{tmp_path}/ck")
+    assert Table.open(spark, f"{tmp_path}/t").find_range() == {b"a": b"later"}
+    _rows(spark, f"{tmp_path}/in", [(b"c", b"2")])
+    _run(spark, f"{tmp_path}/in", t, f"{tmp_path}/ck")
+    assert t.find_range() == {b"a": b"later", b"c": b"2"}
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 

@@ -44,6 +44,11 @@ class KeyRange:
             out = top if self.lower is None else out & top
         return out
 
+    def literal(self) -> KeyRange:
+        """With byte bounds as Spark's literals take them."""
+        bounds = (bytearray(x) if isinstance(x, bytes) else x for x in (self.lower, self.upper))
+        return KeyRange(*bounds, self.include_lower, self.include_upper)
+
     def overlaps(self, low: Any, high: Any) -> bool:
         """Whether a run whose keys span low..high can hold a key of this range (None: unknown)."""
         if self.lower is not None and high is not None and (high < self.lower or high == self.lower and not self.include_lower):
@@ -51,7 +56,11 @@ class KeyRange:
         return not (self.upper is not None and low is not None and (low > self.upper or low == self.upper and not self.include_upper))
 
     @staticmethod
-    def prefix(p: bytes) -> KeyRange:
-        """All keys that start with p."""
+    def prefix(p: bytes | str) -> KeyRange:
+        """All keys that start with p; of a text, up to its last character's successor."""
+        if isinstance(p, str):
+            stem = p.rstrip(chr(0x10FFFF))
+            after = ord(stem[-1]) + 1 if stem else 0
+            return KeyRange(p, stem[:-1] + chr(0xE000 if after == 0xD800 else after) if stem else None, True, False)
         stem = p.rstrip(b"\xff")
         return KeyRange(p, stem[:-1] + bytes([stem[-1] + 1]) if stem else None, True, False)

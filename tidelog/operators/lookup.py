@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.model import KeyRange
 from tidelog.operators.resolve import newest, resolve
 
 
+#: Ranges that are broadcast and tried one by one, at most.
+NESTED = 1000
+
+
 def get(log: DataFrame, value: Any, key: str = "key", seq: str = "seq") -> DataFrame:
     """No row or one."""
     return resolve(log.filter(F.col(key) == F.lit(value)), [key], seq)
@@ -32,16 +36,59 @@ def scan(log: DataFrame, r: KeyRange, key: str = "key", seq: str = "seq", ordere
     return out.orderBy(key) if ordered else out
 
 
-def multi_scan(log: DataFrame, ranges: DataFrame, key: str = "key", seq: str = "seq", max_ranges: int = 10_000) -> DataFrame:
+def multi_scan(log: DataFrame, ranges: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
     """range_id and the state inside each of many ranges (columns range_id, lower, upper, incl_lower, incl_upper).
 
-    The state is resolved once and then range-joined: a version's range membership depends on its key alone.  The
-    ranges are broadcast, as no equality key exists; their number is checked.
+    The state is resolved once, inside the span of all ranges where they have one, and then range-joined: a version's
+    range membership depends on its key alone.
+    """
+    edge = ranges.agg(F.min("lower").alias("low"), F.max("upper").alias("high"), F.count("lower").alias("a"), F.count("upper").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    span = KeyRange(edge.low if edge.n and edge.a == edge.n else None, edge.high if edge.n and edge.b == edge.n else None)
+    return range_join(resolve(log.filter(span.predicate(F.col(key))), [key], seq), ranges, key)
+
+
+def range_join(state: DataFrame, ranges: DataFrame, key: str = "key", nested: int = NESTED) -> DataFrame:
+    """range_id beside each row of state (any rows with a key) for every range that holds its key.
+
+    Up to nested ranges are broadcast and tried one by one.  More are joined by equality: the bounds cut the keys into
+    points and the gaps between them, numbered in order, so a range is an interval of numbers and falls into
+    at most two nodes of each level of a binary tree over them; a row looks for the nodes above its own number.
     """
-    n = ranges.limit(max_ranges + 1).count()
-    if n > max_ranges:
-        raise ValueError(f"more than {max_ranges} ranges; scan in several calls")
-    r, k = ranges.alias("r"), F.col(key)
-    low = F.col("r.lower").isNull() | (k > F.col("r.lower")) | (F.col("r.incl_lower") & (k == F.col("r.lower")))
-    high = F.col("r.upper").isNull() | (k < F.col("r.upper")) | (F.col("r.incl_upper") & (k == F.col("r.upper")))
-    return resolve(log, [key], seq).join(F.broadcast(r), low & high).drop("lower", "upper", "incl_lower", "incl_upper")
+    if ranges.limit(nested + 1).count() <= nested:
+        r, k = ranges.alias("r"), F.col(key)
+        low = F.col("r.lower").isNull() | (k > F.col("r.lower")) | (F.col("r.incl_lower") & (k == F.col("r.lower")))
+        high = F.col("r.upper").isNull() | (k < F.col("r.upper")) | (F.col("r.incl_upper") & (k == F.col("r.upper")))
+        return state.join(F.broadcast(r), low & high).drop("lower", "upper", "incl_lower", "incl_upper")
+    bounds = ranges.select(F.col("lower").alias("_key")).union(ranges.select("upper")).filter("_key IS NOT NULL").distinct()
+    rows = state.select(F.col(key).alias("_key"), F.struct("*").alias("_row"))
+    both = rows.withColumn("_bound", F.lit(0)).unionByName(bounds.withColumn("_bound", F.lit(1)), allowMissingColumns=True)
+    # Fixed in the shared folder: another run of the sampling could cut the ranges elsewhere.
+    dealt = both.repartitionByRange("_key").withColumn("_part", F.spark_partition_id()).checkpoint()
+    before = dealt.groupBy("_part").agg(F.sum("_bound").alias("n"))  # a row for each partition
+    before = before.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
+    here = Window.partitionBy("_part").orderBy("_key", F.col("_bound").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("_bound") == 1, F.col("_key")), ignorenulls=True).over(here)
+    placed = dealt.withColumns({"_n": F.sum("_bound").over(here), "_last": last}).join(F.broadcast(before), "_part")
+    number = 2 * (F.col("_before") + F.col("_n")) - F.when(F.col("_last") == F.col("_key"), F.lit(1)).otherwise(F.lit(0))
+    placed = placed.select("_key", "_row", "_bound", number.alias("_at"))
+    top = 2 * bounds.count()
+    points = placed.filter("_bound = 1").select("_key", "_at")
+    found = ranges.join(points.withColumnsRenamed({"_key": "lower", "_at": "_low"}), "lower", "left").join(points.withColumnsRenamed({"_key": "upper", "_at": "_high"}), "upper", "left")
+    low = F.when(F.col("lower").isNull(), F.lit(0)).otherwise(F.col("_low") + F.when(F.col("incl_lower"), 0).otherwise(1))
+    end = F.when(F.col("upper").isNull(), F.lit(top + 1)).otherwise(F.col("_high") + F.when(F.col("incl_upper"), 1).otherwise(0))
+    levels = F.sequence(F.lit(0), F.lit(max(1, top.bit_length())))
+    node = lambda level, at: F.struct(level.alias("level"), at.alias("at"))
+
+    def climb(acc, level):
+        left, right, some = acc["low"] % 2 == 1, acc["end"] % 2 == 1, acc["low"] < acc["end"]
+        first = F.when(some & left, F.array(node(level, acc["low"]))).otherwise(none)
+        last = F.when(some & right, F.array(node(level, acc["end"] - 1))).otherwise(none)
+        low, end = acc["low"] + left.cast("bigint"), acc["end"] - right.cast("bigint")
+        return F.struct(F.floor(low / 2).cast("bigint").alias("low"), F.floor(end / 2).cast("bigint").alias("end"), F.concat(acc["nodes"], first, last).alias("nodes"))
+
+    none = F.array().cast("array<struct<level:int,at:bigint>>")
+    start = F.struct(low.cast("bigint").alias("low"), end.cast("bigint").alias("end"), none.alias("nodes"))
+    cover = found.select(*(c for c in ranges.columns if c not in ("lower", "upper", "incl_lower", "incl_upper")), F.explode(F.aggregate(levels, start, climb)["nodes"]).alias("_node"))
+    up = F.transform(levels, lambda i: node(i, F.floor(F.col("_at") / F.pow(F.lit(2), i)).cast("bigint")))
+    above = placed.filter("_bound = 0").select("_row", F.explode(up).alias("_node"))
+    return above.join(cover, "_node").select("_row.*", *(c for c in cover.columns if c != "_node"))

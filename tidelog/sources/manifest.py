@@ -30,6 +30,10 @@ class Manifest:
     version: int = 0
     next_seq: int = 1
     next_run: int = 0
+    #: States after batches below this number are gone: compaction has dropped versions up to it.
+    horizon: int = 0
+    #: The last batch that each stream has put, by the stream's id.
+    streams: dict[str, int] = field(default_factory=dict)
     runs: tuple[Run, ...] = field(default_factory=tuple)
 
     def counts(self) -> list[int]:
@@ -42,9 +46,10 @@ class Manifest:
         return new
 
     @staticmethod
-    def load(store: Store) -> Manifest:
+    def load(store: Store, version: int | None = None) -> Manifest:
+        """That version, or the last one."""
         names = [x for x in store.names("_manifest") if x.endswith(".json")]
         if not names:
             raise FileNotFoundError(f"{store.root}: no table here")
-        d = json.loads(store.read(f"_manifest/{names[-1]}"))
+        d = json.loads(store.read(f"_manifest/{names[-1] if version is None else f'{version:012d}.json'}"))
         return Manifest(**d | {"runs": tuple(Run(**r) for r in d["runs"])})

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -29,15 +32,34 @@ class Store:
             stream.close()
 
     def write_new(self, name: str, text: str) -> None:
-        """Appears whole or not at all; fails if the name is taken."""
-        temporary = self._path(f"{name}.tmp")
-        self.fs.mkdirs(temporary.getParent())
-        stream = self.fs.create(temporary, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        if self.fs.exists(self._path(name)) or not self.fs.rename(temporary, self._path(name)):
-            self.fs.delete(temporary, False)
-            raise FileExistsError(f"{self.root}/{name}: another writer has committed this version")
+        """Appears whole or not at all; fails if the name is taken, also when two writers race for it.
+
+        A file of its own name is written first.  A local one is then linked to the final name, which fails where that
+        exists; on HDFS a rename does.  Object stores rename by copying, but show an object only when it is closed, so
+        there the final name is created with overwriting off.
+        """
+        target, scheme = self._path(name), self.fs.getUri().getScheme()
+        written = target if scheme not in ("file", "hdfs", "viewfs", "webhdfs") else self._path(f"{name}.{uuid.uuid4().hex}.tmp")
+        taken = FileExistsError(f"{self.root}/{name}: another writer has committed this version")
+        self.fs.mkdirs(target.getParent())
+        if self.fs.exists(target):
+            raise taken
+        try:
+            stream = self.fs.create(written, False)
+            stream.write(bytearray(text.encode()))
+            stream.close()
+            if scheme == "file":
+                local = lambda p: self.jvm.java.io.File(p.toUri().getPath()).toPath()
+                self.jvm.java.nio.file.Files.createLink(local(target), local(written))
+            elif written is not target and not self.fs.rename(written, target):
+                raise taken
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                raise taken from e
+            raise
+        finally:
+            if written is not target:
+                self.fs.delete(written, False)
 
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
