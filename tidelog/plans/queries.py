@@ -5,6 +5,7 @@ The change log of events: key = user_id|props, seq = event_id, deleted where eve
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from tidelog.operators import lookup
 from tidelog.operators.compaction import merge
 from tidelog.operators.resolve import as_of, newest, resolve, resolve_by_max
 from tidelog.plans.cascade import capacity, layout
+from tidelog.table import Table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,7 +130,7 @@ def multi_scan(spark, sf):
 
 @query(f"WITH {STATE} SELECT key, seq, value FROM state WHERE starts_with(key, '12')")
 def prefix_scan(spark, sf):
-    return lookup.scan(log(spark, sf), KeyRange("12", "13", True, False))
+    return lookup.scan(log(spark, sf), KeyRange.prefix("12"))
 
 
 def _orders(spark, sf):
@@ -245,15 +247,20 @@ def run_stats(spark, sf):
     return log(spark, sf).groupBy(F.floor(F.col("seq") / 1000).alias("run")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("n_keys"), F.min("key").alias("low"), F.max("key").alias("high"), F.count_if(F.col("value").isNull()).alias("n_deleted"))
 
 
-@query(f"WITH {LOG}, old AS (SELECT * FROM log WHERE seq <= 400), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM old) SELECT key, seq, value FROM r WHERE rn = 1 AND value IS NOT NULL")
+@query(f"WITH {LOG}, old AS (SELECT * FROM log WHERE seq <= (SELECT max(seq) // 2 FROM log)), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM old) SELECT key, seq, value FROM r WHERE rn = 1 AND value IS NOT NULL")
 def as_of_snapshot(spark, sf):
-    return resolve(as_of(log(spark, sf), "seq", 400), ["key"])
+    """As of half the log."""
+    top = log(spark, sf).agg(F.max("seq")).first()[0] or 0
+    return resolve(as_of(log(spark, sf), "seq", top // 2), ["key"])
 
 
-@query("WITH k AS (SELECT unhex(printf('%016x', o_orderkey)) AS k, o_totalprice AS price FROM orders) SELECT lower(hex(k)) AS key, price FROM k WHERE k >= unhex('0000000000000064') AND k < unhex('0000000000000bb8')")
+@query("WITH k AS (SELECT unhex(printf('%016x', o_orderkey)) AS k, o_totalprice AS price FROM orders), top AS (SELECT max(o_orderkey) AS m FROM orders) SELECT lower(hex(k)) AS key, price FROM k, top WHERE k >= unhex(printf('%016x', m // 4)) AND k < unhex(printf('%016x', m * 3 // 4))")
 def binary_key_range(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet").select(encode_unsigned(F.col("o_orderkey")).alias("key"), F.lit(1).alias("seq"), F.col("o_totalprice").alias("value"))
-    r = KeyRange(bytearray((100).to_bytes(8)), bytearray((3000).to_bytes(8)), True, False)
+    """The middle half of the order keys."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    o = orders.select(encode_unsigned(F.col("o_orderkey")).alias("key"), F.lit(1).alias("seq"), F.col("o_totalprice").alias("value"))
+    top = orders.agg(F.max("o_orderkey")).first()[0] or 0
+    r = KeyRange((top // 4).to_bytes(8), (top * 3 // 4).to_bytes(8), True, False).literal()
     return lookup.scan(o, r, ordered=False).select(F.lower(F.hex("key")).alias("key"), F.col("value").alias("price"))
 
 
@@ -272,20 +279,75 @@ def labels_of_documents(spark, sf):
     return lookup.multi_get(labels, wanted, "doc_id").select("doc_id", F.col("value").alias("quality"), "found")
 
 
-@query(f"WITH {STATE} SELECT key, value FROM state WHERE key >= '{LOW}' AND key < '{HIGH}'")
-def stored_table(spark, sf):
-    """Written as a stored table, in four batches with compaction, reopened, and scanned."""
-    import uuid
+@query(f"WITH {STATE}, r AS (SELECT c_custkey AS range_id, CAST(c_custkey AS VARCHAR) AS lower, CASE WHEN c_custkey % 7 > 0 THEN CAST(c_custkey AS VARCHAR) || '|' || CAST(c_nationkey AS VARCHAR) END AS upper FROM customer) SELECT range_id, count(*) AS n, min(key) AS low, max(key) AS high FROM r JOIN state ON key > lower AND (upper IS NULL OR key <= upper) GROUP BY range_id")
+def range_join_many(spark, sf):
+    """A range for each customer, some without an upper bound, joined by equality."""
+    c, text = spark.read.parquet(f"{sf}/customer.parquet"), F.col("c_custkey").cast("string")
+    upper = F.when(F.col("c_custkey") % 7 > 0, F.concat_ws("|", text, F.col("c_nationkey").cast("string")))
+    ranges = c.select(F.col("c_custkey").alias("range_id"), text.alias("lower"), upper.alias("upper"), F.lit(False).alias("incl_lower"), F.lit(True).alias("incl_upper"))
+    found = lookup.range_join(resolve(log(spark, sf), ["key"]), ranges, nested=100)
+    return found.groupBy("range_id").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
 
-    from tidelog.table import Table
 
+def _path(spark) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
+
+
+def _stored(spark, sf, compact: bool = True) -> Table:
+    """The log as a stored table, put in four batches."""
     rows = log(spark, sf).select(F.encode("key", "UTF-8").alias("key"), "seq", F.encode("value", "UTF-8").alias("value"))
-    with Table.create(spark, path, fanout=3) as t:
-        top = rows.agg(F.max("seq")).first()[0] or 0
-        step = top // 4 + 1
-        for i in range(4):
-            t.put(rows.filter((F.col("seq") >= i * step) & (F.col("seq") < (i + 1) * step)), order="seq")
-    out = Table.open(spark, path).scan(KeyRange(LOW.encode(), HIGH.encode(), True, False))
-    return out.select(F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"))
+    t = Table.create(spark, _path(spark), fanout=3)
+    step = (rows.agg(F.max("seq")).first()[0] or 0) // 4 + 1
+    for i in range(4):
+        t.put(rows.filter((F.col("seq") >= i * step) & (F.col("seq") < (i + 1) * step)), order="seq", compact=compact)
+    return Table.open(spark, t.path)
+
+
+def _text(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.decode(c, "UTF-8") for c in ("key", "value")})
+
+
+@query(f"WITH {STATE} SELECT key, value FROM state WHERE key >= '{LOW}' AND key < '{HIGH}'")
+def stored_table(spark, sf):
+    """Written in four batches with compaction, reopened, and scanned."""
+    return _text(_stored(spark, sf).scan(KeyRange(LOW.encode(), HIGH.encode(), True, False)))
+
+
+@query(f"WITH {LOG}, old AS (SELECT * FROM log WHERE seq < 2 * ((SELECT max(seq) FROM log) // 4 + 1)), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM old) SELECT key, value FROM r WHERE rn = 1 AND value IS NOT NULL")
+def stored_as_of(spark, sf):
+    """The stored table as of its second batch, before any compaction."""
+    return _text(_stored(spark, sf, compact=False).as_of(2))
+
+
+@query(f"WITH {STATE} SELECT substr(key, 1, 1) AS first_digit, count(*) AS n, min(value) AS least, max(value) AS most FROM state GROUP BY 1")
+def stored_view(spark, sf):
+    """SQL over the stored table's view, after full compaction."""
+    t, name = _stored(spark, sf), f"state_{uuid.uuid4().hex}"
+    t.compact()
+    t.view(name)
+    return spark.sql(f"SELECT substr(decode(key, 'UTF-8'), 1, 1) AS first_digit, count(*) AS n, min(decode(value, 'UTF-8')) AS least, max(decode(value, 'UTF-8')) AS most FROM {name} GROUP BY 1")
+
+
+@query(f"WITH {STATE}, wanted AS (SELECT DISTINCT CAST(user_id AS VARCHAR) || '|' || props AS key FROM events UNION ALL SELECT CAST(c_custkey AS VARCHAR) || '|none' FROM customer) SELECT w.key, s.value, s.key IS NOT NULL AS found FROM wanted w LEFT JOIN state s ON s.key = w.key")
+def stored_find_many(spark, sf):
+    """Bulk lookups in the stored table: every key of the log, and one that is absent for each customer."""
+    absent = spark.read.parquet(f"{sf}/customer.parquet").select(F.concat(F.col("c_custkey").cast("string"), F.lit("|none")).alias("key"))
+    wanted = log(spark, sf).select("key").distinct().union(absent)
+    return _text(_stored(spark, sf).find_many(wanted.select(F.encode("key", "UTF-8").alias("key"))))
+
+
+@query("SELECT n_name AS key, CASE WHEN n_nationkey % 5 = 0 THEN 'again' ELSE CAST(n_regionkey AS VARCHAR) END AS value FROM nation WHERE n_nationkey % 3 > 0 OR n_nationkey % 5 = 0")
+def buffered_writes(spark, sf):
+    """Single inserts, erasures and overwrites through the driver's buffer, which flushes at ten keys; nations are 25."""
+    rows = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").collect()
+    with Table.create(spark, _path(spark), flush_threshold=10, fanout=2) as t:
+        for r in rows:
+            t.insert(r.n_name.encode(), b"%d" % r.n_regionkey)
+        for r in rows:
+            if r.n_nationkey % 3 == 0:
+                t.erase(r.n_name.encode())
+        for r in rows:
+            if r.n_nationkey % 5 == 0:
+                t.insert(r.n_name.encode(), b"again")
+    return _text(Table.open(spark, t.path).scan())
