@@ -51,8 +51,6 @@ def main() -> None:
     ranges = starts.select(F.col("id").alias("range_id"), encode_unsigned(F.col("at")).alias("lower"), encode_unsigned(F.col("at") + width).alias("upper"), F.lit(True).alias("incl_lower"), F.lit(False).alias("incl_upper"))
     timed("table_short_ranges", lambda: t.scan_many(ranges).count())
     rates["table_short_ranges_queries"] = round(n // 1000 / seconds["table_short_ranges"], 1)
-    few = [KeyRange((k * top // 20).to_bytes(8), (k * top // 20 + 20).to_bytes(8), True, False) for k in range(20)]
-    timed("table_ten_row_ranges", lambda: sum(len(t.find_range(r)) for r in few), 20)
     timed("table_scan", lambda: t.scan(KeyRange(b"", b"\x80")).count())
     timed("table_compact", lambda: t.compact(), 2 * n)
     print(json.dumps({"metric": "headline_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "rows_per_sec": rates, "sf": SF.rsplit("sf", 1)[-1], "cpus": int(CPUS)}), flush=True)

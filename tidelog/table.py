@@ -191,17 +191,21 @@ class Table:
         """key, found, value for each row of keys.
 
         Runs that hold none of the keys' span are left out.  FEW keys go into the scan as a list, where statistics and
-        Bloom filters of row groups prune; more are semi-joined with it inside their span.
+        Bloom filters of row groups prune.  More are semi-joined with it inside their span, before versions are
+        resolved; where they are not few beside the rows of the runs, that join would save nothing and is left out.
         """
         keys = keys.select("key")
-        few = [bytes(x.key) for x in keys.filter(F.col("key").isNotNull()).distinct().limit(FEW + 1).collect()]
-        if len(few) <= FEW:
-            log = self.log(KeyRange(min(few), max(few)) if few else KeyRange(b"", b"", False)).filter(F.col("key").isin([bytearray(k) for k in few]))
-        else:
-            edge = keys.agg(F.min("key").alias("low"), F.max("key").alias("high")).first()
-            r = KeyRange(bytes(edge.low), bytes(edge.high))
-            log = self.log(r).filter(r.literal().predicate(F.col("key")))
-        return lookup.multi_get(log, keys).select("key", "found", "value")
+        first = keys.limit(FEW + 1).collect()
+        if len(first) <= FEW:
+            few = sorted({bytes(x.key) for x in first if x.key is not None})
+            log = self.log(KeyRange(few[0], few[-1]) if few else KeyRange(b"", b"", False)).filter(F.col("key").isin([bytearray(k) for k in few]))
+            return lookup.multi_get(log, keys).select("key", "found", "value")
+        edge = keys.agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n")).first()
+        r = KeyRange(edge.low and bytes(edge.low), edge.high and bytes(edge.high))
+        if 4 * edge.n >= sum(x.rows for x in self._runs(r)):
+            hits = self._resolved(r).withColumn("found", F.lit(True))
+            return keys.join(hits, "key", "left").select("key", F.coalesce("found", F.lit(False)).alias("found"), "value")
+        return lookup.multi_get(self.log(r).filter(r.literal().predicate(F.col("key"))), keys).select("key", "found", "value")
 
     def scan(self, r: KeyRange | None = None, ordered: bool = True) -> DataFrame:
         """key, value ascending by key."""
