@@ -281,6 +281,8 @@ def test_mixing(odd, nothing):
         assert r.target <= 3 * r.source_size + 1e-9
     assert all(abs(taken - target) <= 1 for _, taken, target in sources.values())
     assert Counter(map(str, got)) == Counter(map(str, mixing.mix(odd.repartition(5)).collect()))
+    narrow = mixing.mix(mixing.sizes(odd), words="words").select("doc_id", *mixing.RESULTS)
+    assert Counter(map(tuple, narrow.collect())) == Counter((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in got)
     mixed = mixing.sample(odd)
     assert mixed.columns == odd.columns
     words = Counter()

@@ -86,3 +86,24 @@ def test_empty_tables(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.count() == 0
+
+
+def test_null_and_repeated_rows_go_through_all_stages(spark, tmp_path):
+    """Rows without doc_id or source, rows that repeat, and a text of 20,000 words."""
+    rnd = random.Random(22)
+    long = prose(rnd, 20_000)
+    data = rows() + [(None, prose(rnd, 90), None, None, None)] * 2 + [(700, long, "en", "s1", len(long)), (701, long + " and more", "en", None, None)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, seen = spark.createDataFrame(data, SCHEMA).repartition(3), []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/out{i}")
+        docs = spark.read.parquet(f"{tmp_path}/out{i}")
+        seen.append(docs.collect())
+    good, lines, unique, mixed, packed = seen
+    base = [slow_base(r[1] or "") for r in data]
+    assert Counter(r.doc_id for r in good) == Counter(r[0] for r, c in zip(data, base) if c[0] >= 50 and 100 * c[4] <= 50 * c[0])
+    assert Counter((r.doc_id, r.text) for r in lines) == Counter({k: n for k, n in [((k[0], k[3]), n) for k, n in slow_lines([(r.doc_id, r.text) for r in good]).items()]})
+    ids = [r.doc_id for r in unique]
+    assert all(n == 1 for i, n in Counter(ids).items() if i is not None) and None in ids and (700 in ids) and set(ids) <= {r.doc_id for r in lines}
+    assert {r.doc_id for r in mixed} <= set(ids) and all(r.text for r in mixed)
+    assert sum(r.length for r in packed) == sum(len(reference_ids(r.text)) for r in mixed)

@@ -50,15 +50,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return filled.select("_s", "source_size", F.when(clamped, F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, words: str | None = None) -> DataFrame:
     """docs with size (words), source_size, target (its source's), taken (words, repetitions counted).
 
-    Only doc_id, text and source are read; columns of docs with a result's name are replaced.  Null text: size 0, taken
+    Only doc_id, text and source are read; columns of docs with a result's name are replaced.  words: a column of docs with
+    the sizes, counted before; then texts are not read at all.  Null text: size 0, taken
     0.  A null source is one source, the last.  Rows that repeat a doc_id follow each other in the seeded order; which
     of equal rows is cut does not show.  Sources without words have the target 0.  Reruns agree.
     """
     h = _hash(seed)
-    base = docs.select(packed(docs, RESULTS).alias("own"), F.col("source").alias("_s"), n_words().alias("_n"), h.alias("_h"), F.substring(h, 1, 3).alias("_b"))
+    base = docs.select(packed(docs, RESULTS).alias("own"), F.col("source").alias("_s"), (n_words() if words is None else F.col(words)).alias("_n"), h.alias("_h"), F.substring(h, 1, 3).alias("_b"))
     sums = written(base.groupBy("_s", "_b").agg(F.sum("_n").alias("_n")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     plan = targets(sums, weights, cap).withColumn("_w", F.least(whole, F.lit(cap)))
@@ -80,6 +81,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     return others.unionByName(cut).select("own", results.alias("results")).select("own.*", "results.*")
 
 
+def sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source, words as a table, for mix(words="words"): texts are read and counted once."""
+    return written(docs.select("doc_id", "source", n_words().alias("words")))
+
+
 def sample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each repetition.
 

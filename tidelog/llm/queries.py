@@ -43,7 +43,7 @@ SQL["op10_line_dedup"] = linededup.SQL
 
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", *mixing.RESULTS)
+    return mixing.mix(mixing.sizes(documents(spark, sf_dir)), words="words").select("doc_id", *mixing.RESULTS)
 
 
 SQL["op5_mixing"] = mixing.SQL
