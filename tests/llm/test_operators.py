@@ -508,7 +508,7 @@ def test_line_index_is_reversible(spark):
     assert back.table.select(F.sum("refs")).first()[0] == index.table.select(F.sum("refs")).first()[0]
 
 
-def test_lines_pass_without_filters_that_are_too_large(odd, monkeypatch):
+def test_line_dedup_where_filters_meet_lines_by_shard(odd, monkeypatch):
     monkeypatch.setattr(linededup, "FILTER_BYTES", 0)
     got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in linededup.dedup(odd).collect())
     assert got == slow_lines([r[:2] for r in rows()])

@@ -6,8 +6,8 @@ and the others lose theirs.
 
 The exact table has a row for each key and the documents that hold it: references, smallest and largest doc_id.
 Keys of two documents or more are *shared*; each shard of the key space has a cuckoo filter of its shared keys.
-Lines are tested against the filters where they are read, and only those that may be shared are joined with the
-exact table, which drops the filters' false positives.  When documents come or go, counts are added or taken off,
+Lines are tested against the filters, and only those that may be shared are joined with the exact table, which drops
+the filters' false positives.  Small filters are sent to where the lines are read; larger ones and lines meet by shard.  When documents come or go, counts are added or taken off,
 and keys that become shared, or cease to be, are inserted into or deleted from the filters of their shards; what is
 not touched is neither shuffled nor written again.
 """
@@ -26,6 +26,8 @@ from tidelog.llm.common import mapped, packed, prepare, written
 from tidelog.llm.cuckoo import CuckooFilter
 
 MIN_CHARS, SHARD_KEYS, FILTER_BYTES = 10, 20_000, 32 << 20
+#: Keys with more than one in HOT of all references are hot: there are fewer than HOT, so they may be broadcast.
+HOT = 100_000
 
 #: Stand for a null doc_id, of a number or of anything else (told apart as text): such rows are one document, larger
 #: than any other.  A doc_id of just this value is taken for null.
@@ -84,12 +86,18 @@ def build_filters(shared: DataFrame, shards: int) -> DataFrame:
     return shared.select(_shard(shards).alias("shard"), "hi").groupBy("shard").applyInArrow(build, "shard int, data binary")
 
 
-def may_be_shared(lines: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """The lines that pass their shard's filter.  The filters are sent along with the task if they are small enough;
-    else every line passes, and the join with the exact table decides alone."""
+def _hot(keys: DataFrame) -> DataFrame:
+    """The hot ones of keys (refs and other columns, a row for each key), fewer than HOT."""
+    total = keys.agg(F.sum("refs")).first()[0] or 0
+    return keys.filter(F.col("refs") * HOT > total)
+
+
+def may_be_shared(lines: DataFrame, filters: DataFrame, shards: int, hot: DataFrame | None = None) -> DataFrame:
+    """The lines that pass their shard's filter.  Filters of FILTER_BYTES or less are sent to the lines; else both are
+    brought together by shard (hot: hi, lo of the lines' hot keys, if known; see _meet)."""
     size = filters.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
     if size > FILTER_BYTES:
-        return lines
+        return _meet(lines, filters, shards, hot)
     rows = filters.collect()  # at most FILTER_BYTES
     sent = lines.sparkSession.sparkContext.broadcast({r.shard: bytes(r.data) for r in rows})
 
@@ -109,15 +117,50 @@ def may_be_shared(lines: DataFrame, filters: DataFrame, shards: int) -> DataFram
     return mapped(lines, run, lines.schema)
 
 
+def _meet(lines: DataFrame, filters: DataFrame, shards: int, hot: DataFrame | None) -> DataFrame:
+    """may_be_shared() for filters of any size: each shard's filter, then its lines, stream through one task, which holds
+    one filter at a time.  Lines of hot keys, which would crowd a shard, stay where they are and pass untested."""
+    if hot is None:
+        hot = _hot(lines.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("refs")))
+    hot = F.broadcast(written(hot.select("hi", "lo")))  # fewer than HOT
+    names = lines.columns
+    tested = lines.join(hot, ["hi", "lo"], "left_anti").select(*names, _shard(shards).alias("shard"), F.lit(None).cast("binary").alias("data"))
+    blank = [F.lit(0).cast(f.dataType).alias(f.name) for f in lines.schema]
+    first = filters.select(*blank, "shard", "data")
+    ordered = tested.union(first).repartition("shard").sortWithinPartitions("shard", F.col("data").isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = table = None
+        for b in batches:
+            hi, shard, data = b.column(names.index("hi")).to_numpy().view(np.uint64), b.column(len(names)).to_numpy(), b.column(len(names) + 1)
+            keep, heads = np.zeros(b.num_rows, dtype=bool), np.flatnonzero(data.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for start, end in zip([-1, *heads], [*heads, b.num_rows]):
+                if start >= 0:
+                    own, table = shard[start], CuckooFilter.load(data[start].as_py())
+                rows = slice(start + 1, end)
+                if table is not None:
+                    keep[rows] = (shard[rows] == own) & table.contains(hi[rows])
+            if keep.any():
+                yield b.select(names).filter(pa.array(keep))
+
+    return mapped(ordered, run, lines.schema).union(lines.join(hot, ["hi", "lo"], "left_semi").select(*names))
+
+
 def drops(lines: DataFrame, table: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """id, tk, lines: the numbers of the lines that each document loses."""
-    return lost_lines(may_be_shared(lines, filters, shards), table)
+    """id, tk, lines: the numbers of the lines that each document loses.  table is one that is written."""
+    shared = table.filter("least <> most")
+    return lost_lines(may_be_shared(lines, filters, shards, _hot(shared)), shared)
 
 
 def lost_lines(lines: DataFrame, table: DataFrame) -> DataFrame:
-    """drops() without the filters."""
-    shared = table.filter("least <> most").select("hi", "lo", "least")
-    lost = lines.join(shared, ["hi", "lo"]).filter("id <> least")
+    """drops() without the filters.  Lines of hot keys get the least document by broadcast, and are spread over the tasks
+    of the join that the others need."""
+    shared = table.filter("least <> most")
+    hot = F.broadcast(_hot(shared).select("hi", "lo", F.col("least").alias("hot_least")))  # fewer than HOT
+    known = lines.join(hot, ["hi", "lo"], "left").withColumn("at", F.when(F.col("hot_least").isNull(), F.col("hi")).otherwise(F.xxhash64("id", "line")))
+    others = shared.select(F.col("hi").alias("at"), F.col("lo").alias("lo2"), "least")
+    same = (known["at"] == others["at"]) & (known["lo"] == others["lo2"]) & known["hot_least"].isNull()
+    lost = known.join(others, same, "left").filter(F.col("id") != F.coalesce("hot_least", "least"))
     return lost.groupBy("id", "tk").agg(F.collect_set("line").alias("lines"))
 
 
@@ -233,7 +276,7 @@ class LineIndex:
         """docs (all of them in the index) with kept_text, n_lines, n_dropped; references are read of those keys alone
         that pass the filters."""
         lines = written(may_be_shared(_keyed(docs, self.min_chars, _text_key()), self.filters, self.shards))
-        table = self._table(self._held(self.segments, lines.select("hi").distinct()))
+        table = written(self._table(self._held(self.segments, lines.select("hi").distinct())))
         return apply_drops(docs, lost_lines(lines, table))
 
 
