@@ -1,7 +1,7 @@
 """The pipeline's near-dedup against brute force over all pairs."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
@@ -77,3 +77,19 @@ def test_null_and_repeated_doc_ids(spark):
     data = [(None, text, "en", "s", 1), (None, "a", "en", "s", 1), (4, text, "en", "s", 1), (4, text, "en", "s", 1), (7, text + " more", "en", "s", 1), (9, None, "en", "s", 0), (8, " \n", "en", "s", 2)]
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(data, SCHEMA), "")
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == [(False, 4), (False, 8), (True, 0), (True, 0)]
+
+
+def test_the_order_of_shingles_counts_all_documents(spark, monkeypatch):
+    """Exact counts of every frequent shingle, with few and many buckets, more rows than SAMPLE_DOCS, copies, nulls and empty tables."""
+    rnd, passages = random.Random(12), [prose(random.Random(i), 9) for i in range(20)]
+    texts = [" ".join([prose(rnd, 30), *rnd.sample(passages, rnd.randrange(4))]) for _ in range(600)]
+    texts += [texts[0]] * 5 + [None, "", "one word"] * 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    n = Counter(h for t in texts for h in jaccard.shingles((t or "").encode()).tolist())
+    monkeypatch.setattr(jaccard, "SAMPLE_DOCS", 100)
+    for bits in (22, 4):
+        monkeypatch.setattr(jaccard, "BUCKET_BITS", bits, raising=False)
+        h, counts = jaccard._common(docs)
+        assert list(zip(h.tolist(), counts.tolist())) == sorted((h, k) for h, k in n.items() if k > 2)
+    assert len(h) > 100 and max(counts) > 50
+    assert [len(x) for x in jaccard._common(docs.limit(0))] == [0, 0]

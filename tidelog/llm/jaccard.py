@@ -11,7 +11,7 @@ shingle of their prefixes, and whose sizes and places allow the index, are compa
 hashes in about as many buckets as shingles; no more parities than shingles differ, so what fails here has a smaller
 index.  The rest is compared whole.
 
-Any order finds the same pairs.  Shingles that are frequent in a sample come last, so that prefixes rarely meet in
+Any order finds the same pairs.  Shingles that many of all documents have come last, so that prefixes rarely meet in
 common passages, and the edits of a much copied text come first.  Groups of many near copies are linked by stars first,
 each set to one of those that share a shingle with it: the one with that shingle in the earliest place, which has the
 fewest edits (then, if there are more stars, another).  After that only pairs of different components are compared, all of them.
@@ -32,8 +32,12 @@ from tidelog.llm.common import mapped, raw, small_rows, written
 from tidelog.llm.graph import components
 from tidelog.llm.simhash import keep_smallest
 
-#: The index is at least OF_TEN / 10.  The sample and its COMMON shingles bear on the order only, not on what is found.
-SHINGLE, OF_TEN, SEED, STARS, SAMPLE_DOCS, COMMON = 5, 8, 42, 1, 16_000, 100_000
+#: The index is at least OF_TEN / 10.  Shingles in more than one of SHARE documents come last; a table of fewer than
+#: SAMPLE_DOCS counts as one of so many there (nothing is sampled).  All this bears on the order only, not on what is found.
+SHINGLE, OF_TEN, SEED, STARS, SAMPLE_DOCS, SHARE = 5, 8, 42, 1, 16_000, 1000
+
+#: Hashes are counted in 2^BUCKET_BITS buckets first, by their highest bits, and these counts are added up in blocks of BLOCK.
+BUCKET_BITS, BLOCK = 22, 1 << 15
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -49,19 +53,57 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)], dtype=np.int32), pa.array(flat))
 
 
-def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in more than one of a thousand documents of a sample, ascending, and how many have each."""
-    every = max(1, docs.count() // SAMPLE_DOCS)
+def _crowded(texts: DataFrame, least: int) -> np.ndarray:
+    """For each bucket of hashes, whether its shingles are in more than least texts, all of them together."""
+    bits, block = BUCKET_BITS, min(BLOCK, 1 << BUCKET_BITS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(1 << bits, np.uint32)
         for b in small_rows(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t) for t in b.column(0).to_pylist()]).view(np.int64))], names=["h"])
+            for t in b.column(0).to_pylist():
+                np.add.at(found, (shingles(t) >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+        parts = found.reshape(-1, block)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pa.compress(parts[i].tobytes(), codec="zstd", asbytes=True) for i in some], pa.binary())], names=["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, part in zip(b.column(0).to_pylist(), b.column(1)):
+                own = np.frombuffer(pa.decompress(part.as_buffer(), 4 * block, codec="zstd"), np.uint32)
+                sums[i] = sums.get(i, np.zeros(block, np.int64)) + own
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.packbits(x > least).tobytes() for x in sums.values()], pa.binary())], names=["block", "crowded"])
+
+    parts = mapped(texts, count, "block int, counts binary").repartition("block")
+    out = np.zeros(((1 << bits) // block, block), bool)
+    for r in mapped(parts, add, "block int, crowded binary").collect():
+        out[r.block] = np.unpackbits(np.frombuffer(r.crowded, np.uint8), count=block)
+    return out.reshape(-1)
+
 
-    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select(raw().alias("t"))
-    found = mapped(some, run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(2, SAMPLE_DOCS // 1000))
-    rows = found.orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
-    return np.sort(h), n[np.argsort(h)]
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in more than one of SHARE documents, ascending, and how many have each: all of them, counted in all documents.
+
+    There are at most SHARE times as many as a document has on average, so they go through the driver.  A bucket has no
+    fewer than each of its shingles, so only shingles in crowded buckets are counted one by one."""
+    texts = docs.select(raw().alias("t"))
+    least, bits = max(2, max(texts.count(), SAMPLE_DOCS) // SHARE), BUCKET_BITS
+    crowded = _crowded(texts, least)
+    if not crowded.any():
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    sent = np.packbits(crowded).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(np.frombuffer(sent, np.uint8), count=1 << bits).view(bool)
+        for b in batches:
+            every = [shingles(t) for rows in small_rows([b]) for t in rows.column(0).to_pylist()]
+            h, n = np.unique(np.concatenate([s[wanted[(s >> np.uint64(64 - bits)).astype(np.int64)]] for s in every] or [np.empty(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    found = mapped(texts, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > least).toArrow()
+    h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
 def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
