@@ -9,6 +9,7 @@ from tidelog.functions.keys import encode_signed, encode_unsigned
 from tidelog.operators import lookup
 from tidelog.operators.resolve import resolve
 from tidelog.plans.cascade import capacity, due, layout
+from tidelog.plans.queries import QUERIES
 from tidelog.sources.store import Store
 
 FIXTURE = [("61", "01"), ("6100", "02"), ("7f", "03"), ("80", "04"), ("ff", "05"), ("61", "06"), ("80", None), ("62", None), ("7f", None), ("7f", "07"), ("", "08")]
@@ -105,6 +106,62 @@ def test_ranges_by_equality(spark):
     assert lookup.range_join(empty, frame, nested=10).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["binary", "string"])
+def test_range_stats(spark, kind):
+    """Against brute force: repeated and null keys, ranges that repeat, are inverted, empty or without bounds; no rows, no ranges."""
+    rnd, put = random.Random(6), (lambda x: x if x is None else bytearray(x) if kind == "binary" else x.decode())
+    word = lambda n: bytes(rnd.randrange(97, 103) for _ in range(rnd.randrange(n)))
+    keys = [None] * 5 + [word(5) for _ in range(300)]
+    bound = lambda: None if rnd.random() < 0.15 else rnd.choice(keys[5:]) if rnd.random() < 0.6 else word(5)
+    ranges = [(i // 2 if i < 20 else i, bound(), bound(), rnd.random() < 0.5, rnd.random() < 0.5) for i in range(400)] + [(500, None, None, True, True)] * 2
+    key_type, range_type = f"key {kind}, x int", f"range_id int, lower {kind}, upper {kind}, incl_lower boolean, incl_upper boolean"
+    state = spark.createDataFrame([(put(k), i) for i, k in enumerate(keys)], key_type).repartition(3)
+    frame = spark.createDataFrame([(i, put(a), put(b), c, d) for i, a, b, c, d in ranges], range_type).repartition(2)
+    plain = lambda x: x.encode() if isinstance(x, str) else x if x is None else bytes(x)
+    rows = lambda df: sorted(((r.range_id, r.n, plain(r.low), plain(r.high)) for r in df.collect()), key=repr)
+
+    def want(keys):
+        for i, a, b, c, d in ranges:
+            hit = [k for k in keys if k is not None and (a is None or k > a or c and k == a) and (b is None or k < b or d and k == b)]
+            yield i, len(hit), min(hit, default=None), max(hit, default=None)
+
+    assert rows(lookup.range_stats(state, frame)) == sorted(want(keys), key=repr)
+    assert rows(lookup.range_stats(state.limit(0), frame)) == sorted(want([]), key=repr)
+    assert rows(lookup.range_stats(state, frame.limit(0))) == rows(lookup.range_stats(state.limit(0), frame.limit(0))) == []
+
+
+def test_range_join_many_makes_no_pairs(spark, tmp_path):
+    """A seventh of the ranges has no upper bound, so pairs grow with the square of the tables; no step may make them."""
+    rnd = random.Random(7)
+    events = [(i, rnd.randrange(500), rnd.choice(["view", "click", "error"]), f'{{"k": {rnd.randrange(30)}}}') for i in range(4000)]
+    customers = [(i, rnd.randrange(25)) for i in range(400)] + [(7, 3), (8, 3), (401, None), (None, 4)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    last = {f"{u}|{p}": kind for _, u, kind, p in events}
+    keys, want = [k for k, kind in last.items() if kind != "error"], {}
+    for c, nation in customers:
+        hit = [k for k in keys if c is not None and k > str(c) and (c % 7 == 0 or nation is None or k <= f"{c}|{nation}")]
+        want.setdefault(c, []).extend(hit)
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList()
+    seen = {runs.apply(i).executionId() for i in range(runs.size())}
+    got = {r.range_id: (r.n, r.low, r.high) for r in QUERIES["range_join_many"](spark, str(tmp_path)).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs, most = store.executionsList(), 0
+    for i in range(runs.size()):
+        run = runs.apply(i).executionId()
+        if run in seen:
+            continue
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            for m in (node.metrics().apply(j) for j in range(node.metrics().size())):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    pairs, most_allowed = sum(map(len, want.values())), 2 * (len(events) + 2 * len(customers))  # the range exchange reads its rows twice
+    assert len(events) <= most <= most_allowed < pairs, (most, pairs)
+    assert got == {c: (len(x), min(x), max(x)) for c, x in want.items() if x}
+
+
 def test_runs_that_do_not_overlap_are_read_without_a_shuffle(spark, tmp_path):
     rows = spark.range(300).select(encode_unsigned(F.col("id")).alias("key"), F.col("id").cast("string").cast("binary").alias("value"))
     t = Table.create(spark, f"{tmp_path}/t")

@@ -92,3 +92,50 @@ def range_join(state: DataFrame, ranges: DataFrame, key: str = "key", nested: in
     up = F.transform(levels, lambda i: node(i, F.floor(F.col("_at") / F.pow(F.lit(2), i)).cast("bigint")))
     above = placed.filter("_bound = 0").select("_row", F.explode(up).alias("_node"))
     return above.join(cover, "_node").select("_row.*", *(c for c in cover.columns if c != "_node"))
+
+
+def range_stats(state: DataFrame, ranges: DataFrame, key: str = "key") -> DataFrame:
+    """For each range its columns but the bounds, and n, low, high: how many rows of state (any rows with a key) it holds,
+    their least and greatest key; 0 and nulls where there are none.  Null keys are in no range.
+
+    No row is paired with a range, so wide ranges cost no more than narrow ones.  Keys and bounds are put in one order,
+    where each bound gets the number of rows up to it and the nearest keys on both sides; a range takes them from its two bounds.
+    """
+    keys = state.select(F.col(key).alias("_key"), F.lit(1).cast("bigint").alias("_rows"), F.lit(False).alias("_bound"))
+    bounds = ranges.select(F.col("lower").alias("_key")).union(ranges.select("upper"))
+    both = keys.union(bounds.select("_key", F.lit(0).cast("bigint"), F.lit(True))).filter("_key IS NOT NULL")
+    both = both.groupBy("_key").agg(F.sum("_rows").alias("_rows"), F.max("_bound").alias("_bound"))
+    # Fixed as in range_join.
+    dealt = both.repartitionByRange("_key").withColumn("_part", F.spark_partition_id()).checkpoint()
+    held, up, down = F.when(F.col("_rows") > 0, F.col("_key")), F.col("_key").asc(), F.col("_key").desc()
+    parts = dealt.groupBy("_part").agg(F.sum("_rows").alias("_n"), F.min(held).alias("_least"), F.max(held).alias("_most"))  # a row for each partition
+    whole = parts.agg(F.sum("_n").alias("n"), F.min("_least").alias("low"), F.max("_most").alias("high")).first()
+    lesser, greater = (Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1) for x in (F.col("_part").asc(), F.col("_part").desc()))
+    parts = parts.select("_part", F.coalesce(F.sum("_n").over(lesser), F.lit(0)).alias("_n"), F.max("_most").over(lesser).alias("_most"), F.min("_least").over(greater).alias("_least"))
+
+    def near(order, end, beyond):
+        here = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+        return F.coalesce(F.last(held, ignorenulls=True).over(here), F.col(beyond))
+
+    upto = F.sum("_rows").over(Window.partitionBy("_part").orderBy(up).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_n")
+    placed = dealt.join(F.broadcast(parts), "_part").withColumns({
+        "_upto": upto, "_at_most": near(up, 0, "_most"), "_below": near(up, -1, "_most"), "_at_least": near(down, 0, "_least"), "_above": near(down, -1, "_least"),
+    })
+    place = lambda n, k: F.struct(n.cast("bigint").alias("n"), k.alias("key"))
+    upto, before = F.col("_upto"), F.col("_upto") - F.col("_rows")
+    points = placed.filter("_bound").select(
+        "_key", place(before, F.col("_at_least")).alias("_from_at"), place(upto, F.col("_above")).alias("_from_after"),
+        place(upto, F.col("_at_most")).alias("_to_at"), place(before, F.col("_below")).alias("_to_before"),
+    ).checkpoint()
+
+    def at(df, bound, incl, if_in, if_out, absent, name):
+        """Ranges without this bound are not joined: their nulls would all meet in one task."""
+        found = points.select(F.col("_key").alias(bound), if_in, if_out)
+        some = df.filter(F.col(bound).isNotNull()).join(found, bound).withColumn(name, F.when(F.col(incl), F.col(if_in)).otherwise(F.col(if_out))).drop(if_in, if_out)
+        return some.unionByName(df.filter(F.col(bound).isNull()).withColumn(name, absent))
+
+    key_type = dealt.schema["_key"].dataType
+    out = at(ranges, "lower", "incl_lower", "_from_at", "_from_after", place(F.lit(0), F.lit(whole.low).cast(key_type)), "_from")
+    out = at(out, "upper", "incl_upper", "_to_at", "_to_before", place(F.lit(whole.n or 0), F.lit(whole.high).cast(key_type)), "_to")
+    n = F.greatest(F.col("_to.n") - F.col("_from.n"), F.lit(0))
+    return out.select(*(c for c in ranges.columns if c not in ("lower", "upper", "incl_lower", "incl_upper")), n.alias("n"), F.when(n > 0, F.col("_from.key")).alias("low"), F.when(n > 0, F.col("_to.key")).alias("high"))
